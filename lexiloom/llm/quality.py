@@ -12,27 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.llm.words import COMMON
+
 #: Characters in a chunk of a long text, and how far a word may reach into the next chunk.
 CHUNK, HALO = 262_144, 64
 
-#: Frequent short words of French, English, German, Spanish, Portuguese and Italian.
-COMMON = """
-a à ai ainsi alors au aucun aussi autre aux avec bien c ce cela celle celui ces cette chaque chez comme d dans de depuis des
-deux donc du elle elles en encore entre est et été être eux fait faut il ils j je jour jours l la là le les leur leurs lui m ma mais même
-mes mieux moins mon n ne ni nos notre nous on ont ou où par parfois pas peu peut plus pour pourtant puis qu quand que quel quelle
-qui quoi rien s sa sans se ses si sont sous souvent sur t ta tandis te toujours tous tout toute très trop tu un une vers vos votre vous y
-about after all also an and any are as at be because been before but by can did do every for from had has have he her his how i in into is it its
-more most my no nobody not now of on one only or other our out over said she so some such than that the their them then there these they this those to
-under up was we were what when where which while who whom why will with would you your
-aber als am an auch auf aus bei bis da das dass dem den der des die diese doch du durch ein eine einem einen einer er es für gegen hat ich
-ihr im in ist ja jahr jeden kein man mehr mit nach nicht niemand noch nur ob oder ohne sehr sein sich sie sind so über um und unter vom von
-vor war warum was weiß wenn wer wie wird wir wo zu zum zur zwischen
-al algo ante antes así aunque cada como con contra cuando cuya de del desde donde durante él el ella en entre era es ese eso esta está este fue ha hasta hay la
-las le lo los más mi muy nada ni no nos o otra otro para pero por porque que qué quién se según ser si sí sin sobre su sus también tan tiene todavía todo tras un una uno y ya
-ao aos até com da das do dos e ela ele em essa esse foi isso já mais mas na não nas no nos numa o os ou pela pelo por quando são sem seu sua também um uma
-che chi ci con cui da dal del della di dove è gli ha i il io la le lo loro lui ma mi nel nella non per perché più quando se si sono su un una vi
-""".split()
-
 #: What is counted of each line; every count is a sum over its characters or words, so parts of a line add up.
 SUMS = ["chars", "letters", "digits", "spaces", "symbols", "words", "common", "word_chars", "pipes", "tabs", "semicolons", "slashes", "commas", "gaps", "inner", "mixed", "coded", "ends", *(f"same{d}" for d in range(1, 9))]
 KINDS = ["prose", "list", "table", "junk"]
@@ -111,7 +95,7 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return np.array(sorted(made), np.uint64)
 
 
-_COMMON = _hash_words(COMMON)
+_COMMON = _hash_words([w for words in COMMON.values() for w in words])
 
 
 def line_counts(texts: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
