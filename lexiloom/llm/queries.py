@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import budget, lines, quality, tokens
+from lexiloom.llm import budget, encoding, lines, pairs, quality, tokens
 from lexiloom.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(read(spark, d, "dialogue_examples")).where(F.col("defect").isNotNull())
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.found(read(spark, d, "web_documents"))
 
@@ -58,7 +62,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clean, p4_token_totals, p4_document_tokens, p6_found, p6_statistics, p7_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.inspected(read(spark, d, "documents")).where("garbled").select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.inspected(read(spark, d, "documents")).where("garbled").select("doc_id", "original", "spans", "how")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p4_token_totals, p4_document_tokens, p6_found, p6_statistics, p7_ids, p9_found, p9_restored)}
 
 # DuckDB's \s knows no white space beyond ASCII, so the class is spelled out.
 _WHITE = r"[\t\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
