@@ -44,7 +44,7 @@ def frequent_lines(
     rows = df.select(site(F.col(url)).alias("site"), F.col(text).alias("text")).where(F.col("site").isNotNull())
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     once = F.array_distinct(F.filter(line_hashes(F.col("text")), lambda x: x.isNotNull()))
-    counts = rows.where(F.col("text").isNotNull()).select("site", F.explode(once).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where(F.col("text").isNotNull()).select("site", F.explode_outer(once).alias("line")).where(F.col("line").isNotNull()).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
     kept = counts.where(F.col("n") >= records).join(totals, "site").where(F.col("n") * 100 >= F.col("total") * percent)
     return kept.groupBy("site").agg(F.collect_list("line").alias("frequent"))
 
@@ -66,7 +66,8 @@ def marked(df: DataFrame, text: str = "text", url: str = "url", frequent: DataFr
 def found(df: DataFrame, ident: str = "record_id", text: str = "text", url: str = "url", **limits) -> DataFrame:
     """(ident, line_no) of every excessively repeated line."""
     rows = marked(df.select(ident, text, url), text, url, **limits)
-    return rows.select(ident, F.explode("repeated").alias("line_no"))
+    # the plain explode would be preceded by a filter that computes the list a second time
+    return rows.select(ident, F.explode_outer("repeated").alias("line_no")).where(F.col("line_no").isNotNull())
 
 
 def cleaned(df: DataFrame, text: str = "text", url: str = "url", **limits) -> DataFrame:
