@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import budget, encoding, lines, pairs, quality, tokens
+from lexiloom.llm import books, budget, encoding, lines, pairs, quality, tokens
 from lexiloom.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
     return budget.document_tokens(_token_rows(spark, d), ["table", "id", "source", "language", "domain"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return books.affected_lines(read(spark, d, "books"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return books.paragraphs(read(spark, d, "books"))
+
+
 def _with_repeated(spark: SparkSession, d: str) -> DataFrame:
     return lines.marked(read(spark, d, "web_documents").select("record_id", "url", "text"))
 
@@ -70,7 +78,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.inspected(read(spark, d, "documents")).where("garbled").select("doc_id", "original", "spans", "how")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p4_token_totals, p4_document_tokens, p6_found, p6_statistics, p7_ids, p9_found, p9_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p4_token_totals, p4_document_tokens, p5_found, p5_paragraphs, p6_found, p6_statistics, p7_ids, p9_found, p9_restored)}
 
 # DuckDB's \s knows no white space beyond ASCII, so the class is spelled out.
 _WHITE = r"[\t\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
