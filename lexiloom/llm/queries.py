@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import books, budget, encoding, lines, pairs, quality, tokens
+from lexiloom.llm import books, budget, encoding, lines, mixing, overlap, pairs, quality, tokens
 from lexiloom.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,27 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.cleaned(read(spark, d, "web_documents").select("record_id", "url", "text")).select("record_id", "text", "removed")
 
 
+def _records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Web documents and articles together; their record_id is unique across both."""
+    names = ["record_id", "partition_name", *columns]
+    return read(spark, d, "web_documents").select(*names).unionByName(read(spark, d, "articles").select(*names))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs_ = overlap.overlaps(_records(spark, d, "text"))
+    return pairs_.select(F.least("train", "evaluation").alias("record_a"), F.greatest("train", "evaluation").alias("record_b"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records per split and source, those found in train, and the pairs they are in."""
+    found = overlap.overlaps(_records(spark, d, "text")).groupBy(F.col("evaluation").alias("record_id")).agg(F.count(F.lit(1)).alias("n"))
+    records = _records(spark, d, "source_id").where(F.col("partition_name").isin(*overlap.EVALUATION))
+    joined = records.join(found, "record_id", "left")
+    return joined.groupBy("partition_name", "source_id").agg(
+        F.count(F.lit(1)).alias("records"), F.count("n").alias("found_in_train"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")
+    )
+
+
 def _token_rows(spark: SparkSession, d: str) -> DataFrame:
     """Documents and web documents under one set of columns, with canonical source, language and domain."""
     documents = read(spark, d, "documents").select(F.lit("documents").alias("table"), F.col("doc_id").alias("id"), "text", F.col("lang").alias("l"), F.col("source").alias("s"))
@@ -70,6 +91,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents"), "doc_id", "text")
 
 
+def _mix_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with canonical source, language and topic (the domain of the source), and the targets."""
+    domains = read(spark, d, "sources").select(budget.source(F.col("source_id")).alias("source"), F.col("domain").alias("topic")).dropDuplicates(["source"])
+    rows = read(spark, d, "documents").select("doc_id", "text", budget.source(F.col("source")).alias("source"), budget.language(F.col("lang")).alias("language"))
+    targets = read(spark, d, "mix_targets").select(budget.source(F.col("source_id")).alias("source"), "target_share", "max_repeats")
+    return budget.small_side(rows, domains, "source"), targets
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: each chosen document, its tokens, and how often it is used."""
+    return mixing.mix(*_mix_inputs(spark, d)).select("doc_id", "source", "language", "tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mix_inputs(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.inspected(read(spark, d, "documents")).where("garbled").select("doc_id")
 
@@ -78,7 +116,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.inspected(read(spark, d, "documents")).where("garbled").select("doc_id", "original", "spans", "how")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p4_token_totals, p4_document_tokens, p5_found, p5_paragraphs, p6_found, p6_statistics, p7_ids, p9_found, p9_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_counts, p4_token_totals, p4_document_tokens, p5_found, p5_paragraphs, p6_found, p6_statistics, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)}
 
 # DuckDB's \s knows no white space beyond ASCII, so the class is spelled out.
 _WHITE = r"[\t\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
