@@ -1 +1 @@
-
+"""Writers. None replaces what is already there."""
