@@ -155,9 +155,13 @@ def layout(text: str, title: str | None, author: str | None) -> tuple[list[str],
     repeated = Counter(cores.values())
     for i, core in cores.items():
         told = core in known or any(_like(core, k) for k in known) and (repeated[core] > 1 or _edge(i, lines, plain, kinds))
-        # a name that the row doesn't have, as where the author is null
-        if told or repeated[core] > 2 and _edge(i, lines, plain, kinds):
+        if told:
             kinds[i] = "running_header"
+    # a name that the row doesn't have, as where the author is null: a line without final sign at the edges of pages only
+    for core in {c for i, c in cores.items() if repeated[c] > 2 and i not in kinds}:
+        places = [i for i, c in cores.items() if c == core and i not in kinds]
+        if all(_edge(i, lines, plain, kinds) and not re.search(r"[.,;:!?»…]$", plain[i]) for i in places):
+            kinds |= dict.fromkeys(places, "running_header")
     return lines, kinds, opening
 
 

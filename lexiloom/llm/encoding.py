@@ -66,6 +66,8 @@ def beginnings(codec: str) -> frozenset[str]:
     return frozenset(c + t for c, b in table.items() if 0xC2 <= b <= 0xF4 for t in tails)
 
 
+#: Combining accents of decomposed Latin letters.
+MARKS = {0x300, 0x301, 0x302, 0x303, 0x308, 0x327}
 _SCRIPTS = ((0x386, 0x3CE, "greek"), (0x400, 0x45F, "cyrillic"), (0x590, 0x5FF, "hebrew"), (0x600, 0x6FF, "arabic"), (0x3040, 0x30FF, "cjk"), (0x4E00, 0x9FFF, "cjk"), (0xAC00, 0xD7AF, "cjk"))
 
 
@@ -79,16 +81,28 @@ def _kind(c: str) -> str:
         return "latin"
     if 0x100 <= o <= 0x17F or 0x1E00 <= o <= 0x1EFF:
         return "extended"
-    if 0x2010 <= o <= 0x20CF or 0x2100 <= o <= 0x22FF or o == 0xFEFF or o >= 0x1F300 or 0x2600 <= o <= 0x27BF or category == "Mn":
+    if 0x2010 <= o <= 0x20CF or 0x2100 <= o <= 0x22FF or o == 0xFEFF or o >= 0x1F300 or 0x2600 <= o <= 0x27BF:
         return "sign"
+    if o in MARKS:
+        return "mark"
     return next((name for low, high, name in _SCRIPTS if low <= o <= high), "odd")
 
 
 def _plausible(text: str, start: int, end: int, decoded: str, codec: str) -> bool:
+    if re.search("[\x80-\x9f]", decoded):  # bytes of text that went wrong twice
+        rest = decoded
+        for m in automaton("cp1252").finditer(decoded):
+            inner = bytes(to_byte("cp1252")[c] for c in m.group()).decode("utf-8", "replace")
+            if not {_kind(c) for c in inner} <= {"latin", "extended", "sign"}:
+                return False
+            rest = rest.replace(m.group(), "")
+        return not re.search("[\x80-\x9f]", rest)
     kinds = {_kind(c) for c in decoded}
     before, after = text[start - 1 : start], text[end : end + 1]
     if codec in OTHER_SCRIPTS and kinds & {"latin", "extended", "sign"} and not (before + after).isascii():
         return False
+    if "mark" in kinds:  # a decomposed accent stands behind its letter, and comes as the bytes CC or CD show
+        return kinds == {"mark"} and before.isascii() and before.isalpha() and codec in ("cp1252", "cp437", "cp850")
     if "odd" in kinds or len(kinds - {"latin", "sign", "extended"}) > 1:
         return False
     if kinds <= {"latin", "sign"}:
@@ -120,6 +134,11 @@ def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     return out if codec not in OTHER_SCRIPTS or sum(len(d) for _, _, d in out) > 2 else []
 
 
+def _weight(found: list[tuple[int, int, str]]) -> int:
+    """Characters that spans explain, those that become Latin letters and signs of Latin-1 twice."""
+    return sum((b - a) * (2 if all(_kind(c) == "latin" for c in decoded) else 1) for a, b, decoded in found)
+
+
 def decode_spans(text: str) -> tuple[str, int, list[str]]:
     """text with its garbled UTF-8 spans decoded, their number, and the encodings they had been shown in.
 
@@ -137,7 +156,7 @@ def decode_spans(text: str) -> tuple[str, int, list[str]]:
             if pairs.isdisjoint(beginnings(codec)):
                 continue
             found = [s for s in spans(text, codec) if not _quoted(text, *s)]
-            if sum(b - a for a, b, _ in found) > sum(b - a for a, b, _ in best):
+            if _weight(found) > _weight(best):
                 best, name = found, codec
         if not best:
             break

@@ -98,6 +98,11 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _COMMON = _hash_words([w for words in COMMON.values() for w in words])
 
 
+def _behind(mask: np.ndarray, n: int, edge: bool) -> np.ndarray:
+    """The mask n places further on."""
+    return np.concatenate([np.full(n, edge), mask[:-n]])[: len(mask)] if len(mask) > n else np.full(len(mask), edge)
+
+
 def line_counts(texts: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Lines of texts: the text each belongs to, its SUMS, and what its first and last signs say.
 
@@ -136,7 +141,7 @@ def line_counts(texts: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray],
     out["slashes"] = np.bincount(line_of[spaced], minlength=n)
     out["commas"] = per_line(raw == 0x2C)
     wide = space & lead & (before == SPACE)
-    out["gaps"] = per_line(wide & np.concatenate([[False, False], kind[:-2] == SPACE]) & ~np.concatenate([[True, True, True], kind[:-3] == SPACE]))
+    out["gaps"] = per_line(wide & _behind(kind == SPACE, 2, False) & ~_behind(kind == SPACE, 3, True))
     after = np.concatenate([kind[1:], [LINE]])
     point = (kind == COMMA) | (raw == 0x2E) | (raw == 0x3F) | (raw == 0x21)
     out["inner"] = per_line(point & (before == LETTER) & (after == LETTER))
