@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.functions.text import MARKERS
-from lexiloom.operators.shards import FIRST_BYTE, byte_ids
+from lexiloom.operators.shards import FIRST_BYTE, byte_count
 
 Codec = tuple[Callable[[str], list[int]], Callable[[list[int]], str]]
 
@@ -96,7 +96,7 @@ def measured(df: DataFrame, codec: Callable[[], Codec], ident: str, text: str =
 def byte_measured(df: DataFrame, ident: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """As :func:`measured` with the byte vocabulary, without Python."""
     rows = df.where(F.col(text).isNotNull())
-    tokens = F.size(byte_ids(F.col(text))).cast("long")
+    tokens = byte_count(F.col(text)).cast("long")
     return rows.select(
         ident, *keep, F.octet_length(text).cast("long").alias("bytes"), F.length(text).cast("long").alias("chars"), tokens.alias("tokens"),
         F.lit(1).cast("long").alias("exact"), F.lit(0).cast("long").alias("unknown"),

@@ -201,14 +201,14 @@ def within_budget(df: DataFrame, pos: str, size: str, accepted: str, budget: int
     The row at the cut and all later ones are gone, accepted or not. Running sums go over ranges of ``pos`` first and
     within each range then, so that no task holds all rows.
     """
-    bounds = df.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"))
-    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("__b", F.floor((F.col(pos) - F.col("lo")) * buckets / (F.col("hi") - F.col("lo") + 1)).cast("int")).drop("lo", "hi")
-    used = F.when(F.col(accepted), F.col(size)).otherwise(0)
-    sums = ranged.groupBy("__b").agg(F.sum(used).alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__b", before.alias("__before"))  # one row a bucket
-    within = F.coalesce(F.sum(used).over(Window.partitionBy("__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summed = ranged.join(F.broadcast(sums), "__b").withColumn("__over", F.col("__before") + within + F.col(size) > budget)
-    first = summed.where("__over").agg(F.min(pos).alias("__cut"))
-    kept = summed.crossJoin(F.broadcast(first)).where(F.col("__cut").isNull() | (F.col(pos) < F.col("__cut")))
-    return kept.select(*df.columns)
+    rows = cut(df.select(F.col(pos).alias("p"), F.col(size).alias("n"), F.when(F.col(accepted), F.col(size)).otherwise(0).alias("used")))
+    low, high = rows.agg(F.min("p"), F.max("p")).first()
+    if low is None:
+        return df
+    ranged = rows.withColumn("b", F.floor((F.col("p") - low) * buckets / (high - low + 1)).cast("int"))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy("b").agg(F.sum("used").alias("s")).select("b", before.alias("before"))  # one row a bucket
+    within = F.coalesce(F.sum("used").over(Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = ranged.withColumn("within", within).join(F.broadcast(sums), "b").where(F.col("before") + F.col("within") + F.col("n") > budget)
+    first = over.agg(F.min("p")).first()[0]
+    return df if first is None else df.where(F.col(pos) < first)

@@ -118,7 +118,8 @@ def retained(chosen: DataFrame, domain: str = "domain") -> DataFrame:
 
 def rehearsal(web: DataFrame, old: DataFrame, text: str = "text") -> DataFrame:
     """(part, repeat, text): web rows once, old rows as often as it takes to weigh as much in bytes, at least once."""
-    size = lambda df: df.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0)).cast("long").alias("n"))
-    times = size(web).withColumnRenamed("n", "w").crossJoin(size(old)).select(F.greatest(F.lit(1), F.coalesce(F.ceil(F.try_divide("w", "n")), F.lit(1))).cast("int").alias("times"))
-    again = old.select(F.col(text).alias("text")).crossJoin(F.broadcast(times)).select(F.lit("old").alias("part"), F.explode(F.sequence(F.lit(1), "times")).alias("repeat"), "text")
+    size = lambda df: df.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0))).first()[0]
+    weight = size(old)
+    times = max(1, -(-size(web) // weight)) if weight else 1
+    again = old.select(F.lit("old").alias("part"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("repeat"), F.col(text).alias("text"))
     return web.select(F.lit("web").alias("part"), F.lit(1).alias("repeat"), F.col(text).alias("text")).unionByName(again)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.functions import hashing
 from lexiloom.functions import text as tx
@@ -12,24 +17,40 @@ from lexiloom.functions import text as tx
 USER_ID, ASSISTANT_ID, END_ID, FIRST_BYTE = 0, 1, 2, 3
 
 
-def byte_ids(text: Column) -> Column:
+MARKER = r"<\|(?:user|assistant|end)\|>"
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def byte_ids(text: pd.Series) -> pd.Series:
     """The byte vocabulary's ids of a text: its UTF-8 bytes behind the three markers, which are one id each."""
-    marker = r"<\|(?:user|assistant|end)\|>"
-    digits = lambda s: F.filter(F.split(F.hex(F.encode(s, "UTF-8")), "(?<=\\G..)", -1), lambda h: h != "")
-    as_ids = lambda s: F.transform(digits(s), lambda h: F.conv(h, 16, 10).cast("int") + FIRST_BYTE)
-    pieces = F.split(text, marker, -1)
-    found = F.regexp_extract_all(text, F.lit(f"({marker})"), F.lit(1))
-    ident = lambda m: F.when(m == tx.USER, USER_ID).when(m == tx.ASSISTANT, ASSISTANT_ID).otherwise(END_ID)
-    plain = F.size(pieces) == 1
-    mixed = F.flatten(F.transform(pieces, lambda p, i: F.concat(as_ids(p), F.when(i < F.size(found), F.array(ident(F.get(found, i)))).otherwise(F.array().cast("array<int>")))))
-    return F.when(plain, as_ids(text)).otherwise(mixed)
+    marks = {tx.USER: [USER_ID], tx.ASSISTANT: [ASSISTANT_ID], tx.END: [END_ID]}
+
+    def ids(t: str) -> np.ndarray:
+        parts = [t] if "<|" not in t else re.split(f"({MARKER})", t)
+        arrays = [np.array(marks[p], np.int32) if p in marks else np.frombuffer(p.encode("utf-8", "replace"), np.uint8).astype(np.int32) + FIRST_BYTE for p in parts]
+        return arrays[0] if len(arrays) == 1 else np.concatenate(arrays)
+
+    return pd.Series([None if t is None else ids(t) for t in text])
+
+
+def byte_count(text: Column) -> Column:
+    """The number of ids that :func:`byte_ids` gives, without building them."""
+    return F.octet_length(F.regexp_replace(text, MARKER, "x"))
 
 
 def document_ids(df: DataFrame, text: str = "text") -> DataFrame:
     """df with ``ids``: of its trimmed text, the end marker and a line feed. Encoded one by one, documents give the
     same ids as their concatenation. A null text is an empty one."""
-    whole = F.concat(tx.trimmed(tx.unix_lines(F.coalesce(F.col(text), F.lit("")))), F.lit(f"{tx.END}\n"))
-    return df.withColumn("ids", byte_ids(whole))
+    return df.withColumn("ids", byte_ids(_record(text)))
+
+
+def _record(text: str) -> Column:
+    return F.concat(tx.trimmed(tx.unix_lines(F.coalesce(F.col(text), F.lit("")))), F.lit(f"{tx.END}\n"))
+
+
+def document_size(text: str = "text") -> Column:
+    """The number of ids that :func:`document_ids` gives a row."""
+    return byte_count(_record(text))
 
 
 def positions(df: DataFrame, split: str, pos: str, size: Column, buckets: int = 256) -> DataFrame:
@@ -38,9 +59,9 @@ def positions(df: DataFrame, split: str, pos: str, size: Column, buckets: int =
     Sums of ranges of ``pos`` come first, then running sums within each range: a split that holds nearly all rows is
     spread over ``buckets`` tasks.
     """
-    bounds = df.agg(F.min(pos).alias("__lo"), F.max(pos).alias("__hi"))
-    wide = df.withColumn("__n", size.cast("long")).crossJoin(F.broadcast(bounds))
-    wide = wide.withColumn("__b", F.floor((F.col(pos) - F.col("__lo")) * buckets / (F.col("__hi") - F.col("__lo") + 1)).cast("int"))
+    low, high = df.agg(F.min(pos), F.max(pos)).first()
+    low, high = (0, 0) if low is None else (low, high)
+    wide = df.withColumn("__n", size.cast("long")).withColumn("__b", F.floor((F.col(pos) - low) * buckets / (high - low + 1)).cast("int"))
     sums = wide.groupBy(split, "__b").agg(F.sum("__n").alias("__s"))
     before = F.sum("__s").over(Window.partitionBy(split).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col(split).alias("__split"), F.col("__b").alias("__c"), F.coalesce(before, F.lit(0)).alias("__before"))

@@ -458,8 +458,9 @@ def audit_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    rows = shards.document_ids(read(spark, d, "articles").where(F.col("partition_name").isNotNull()).select("record_id", "partition_name", "text"))
-    return shards.positions(rows, "partition_name", "record_id", F.size("ids"))
+    rows = read(spark, d, "articles").where(F.col("partition_name").isNotNull()).select("record_id", "partition_name", "text")
+    placed = shards.positions(rows.withColumn("n", shards.document_size()), "partition_name", "record_id", F.col("n"))
+    return shards.document_ids(placed)
 
 
 _LEN = f"(strlen(replace(replace(replace({_trim(_unix("coalesce(text, '')"))}, '<|user|>', 'u'), '<|assistant|>', 'a'), '<|end|>', 'e')) + 2)"
@@ -468,7 +469,7 @@ _START = f"select record_id, partition_name, {_LEN}::int as n, coalesce(sum({_LE
 
 @query(_START)
 def token_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d).select("record_id", "partition_name", F.size("ids").alias("n"), "start")
+    return _stream(spark, d).select("record_id", "partition_name", "n", "start")
 
 
 def _shards(spark: SparkSession, d: str) -> DataFrame:
@@ -510,7 +511,7 @@ with s as ({_START}), one as (select s.partition_name as split, s.start + 3 as s
 select split, start::bigint as start, len::bigint as len, list_transform(range(4, 13), lambda i: ('0x' || substr({_hex('t')}, (2 * i - 1)::int, 2))::int + 3)::int[] as tokens from one""")
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
     """Nine tokens from the third byte on of each article whose id is divisible by 20."""
-    at = _stream(spark, d).where((F.size("ids") > 40) & (F.col("record_id") % 20 == 0))
+    at = _stream(spark, d).where((F.col("n") > 40) & (F.col("record_id") % 20 == 0))
     wanted = at.select(F.col("partition_name").alias("split"), (F.col("start") + 3).alias("start"), F.lit(9).cast("long").alias("len"))
     return shards.windows(_shards(spark, d), wanted, SHARD_TOKENS)
 
