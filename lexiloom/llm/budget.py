@@ -53,8 +53,8 @@ def document_tokens(df: DataFrame, keys: list[str], text: str = "text", **tokeni
     counts = distinct_tokens(df, text, **tokenizer)
     rows = df.select(*keys, fingerprint(F.col(text)).alias("digest"))
     # the counts have one row per digest; hot digests on the other side are split by AQE's skew join
-    joined = rows.join(counts, "digest", "left")
-    return joined.select(*keys, F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    joined = rows.where(F.col("digest").isNotNull()).join(counts, "digest").select(*keys, F.col("tokens").cast("long").alias("tokens"))
+    return joined.unionByName(rows.where(F.col("digest").isNull()).select(*keys, F.lit(0).cast("long").alias("tokens")))
 
 
 def totals(df: DataFrame, by: list[str], text: str = "text", **tokenizer) -> DataFrame:
