@@ -171,33 +171,34 @@ def _edge(i: int, lines: list[str], plain: list[str], kinds: dict[int, str]) ->
     return "\f" in lines[i] or len(beside) < 2 or any(not plain[j] or kinds.get(j) == "page_number" or "\f" in lines[j] for j in beside) or plain[i].isupper()
 
 
-def tokens(lines: list[str], kinds: dict[int, str]) -> tuple[set[int], list[tuple[int, int, str, int]]]:
-    """Lines that end within a word, and (line, next line, word, letters in the first) of the words of text lines.
+def tokens(lines: list[str], kinds: dict[int, str]) -> tuple[set[int], list[tuple[int, int, str, int, int]]]:
+    """Lines that end within a word, and (line, next line, word, letters in the first, place in it) of the words of text lines.
 
-    A broken word comes as one, without its hyphen. In a word in one line the next line is -1.
+    A broken word comes as one, without its hyphen. In a word in one line the next line is -1. The place counts the
+    words of the line before it, parts of broken ones included.
     """
     texts = [(i, re.sub(r"[\r\f\x0b ]", " ", x).strip()) for i, x in enumerate(lines) if kinds.get(i) not in ("running_header", "page_number")]
     texts = [(i, x) for i, x in texts if x]
     broken, out, carry = set(), [], None
     for k, (i, x) in enumerate(texts):
-        found = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(x)]
+        found = [(m.group(), m.start(), m.end(), place) for place, m in enumerate(_TOKEN.finditer(x))]
         if carry and found and found[0][1] == 0:
-            head, at = carry
-            out.append((at, i, head + found[0][0], len(head)))
+            head, at, place = carry
+            out.append((at, i, head + found[0][0], len(head), place))
             found = found[1:]
         elif carry:
-            out.append((carry[1], -1, carry[0], len(carry[0])))
+            out.append((carry[1], -1, carry[0], len(carry[0]), carry[2]))
         carry = None
         last = re.search(rf"([^\W\d_]|['’\d])[{HYPHENS}]\s*$", x)
         after = texts[k + 1][1] if k + 1 < len(texts) else ""
         if last and re.match(r"[^\W_]|[!|]", after):
             broken.add(i)
             if found and found[-1][2] >= last.start():
-                carry = (found[-1][0], i)
+                carry = (found[-1][0], i, found[-1][3])
                 found = found[:-1]
-        out += [(i, -1, w, len(w)) for w, _, _ in found]
+        out += [(i, -1, w, len(w), place) for w, _, _, place in found]
     if carry:
-        out.append((carry[1], -1, carry[0], len(carry[0])))
+        out.append((carry[1], -1, carry[0], len(carry[0]), carry[2]))
     return broken, out
 
 
@@ -210,10 +211,10 @@ def _parse(ident: str, title: str, author: str, text: str):
             for key, t, a, x in zip(batch[ident], batch[title], batch[author], batch[text]):
                 lines, kinds, opening = layout(x, t, a)
                 broken, words = tokens(lines, kinds)
-                rows = [(i, kinds.get(i) or ("hyphen_break" if i in broken else None), lines[i], i in opening, None, None, None, None) for i in range(len(lines))]
-                rows += [(line, None, None, None, k, after, word, size) for k, (line, after, word, size) in enumerate(words)]
-                out = pd.DataFrame(rows, columns=["line_no", "kind", "raw", "opening", "__k", "__after", "__word", "__size"])
-                for c in ("__k", "__after", "__size"):
+                rows = [(i, kinds.get(i) or ("hyphen_break" if i in broken else None), lines[i], i in opening, None, None, None, None, None) for i in range(len(lines))]
+                rows += [(line, None, None, None, k, after, word, size, place) for k, (line, after, word, size, place) in enumerate(words)]
+                out = pd.DataFrame(rows, columns=["line_no", "kind", "raw", "opening", "__k", "__after", "__word", "__size", "__place"])
+                for c in ("__k", "__after", "__size", "__place"):
                     out[c] = out[c].astype("Int32")
                 out.insert(0, ident, key)
                 yield out
@@ -227,7 +228,7 @@ def parsed(df: DataFrame, ident: str = "file_id", title: str = "title", author:
         [
             T.StructField(ident, df.schema[ident].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("raw", T.StringType()),
             T.StructField("opening", T.BooleanType()), T.StructField("__k", T.IntegerType()), T.StructField("__after", T.IntegerType()),
-            T.StructField("__word", T.StringType()), T.StructField("__size", T.IntegerType()),
+            T.StructField("__word", T.StringType()), T.StructField("__size", T.IntegerType()), T.StructField("__place", T.IntegerType()),
         ]
     )
     rows = df.where(F.col(text).isNotNull()).select(ident, title, author, text)
@@ -249,43 +250,48 @@ def _skeleton_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def misread_words(words: DataFrame, ident: str) -> DataFrame:
-    """The rows of ``words`` (ident, line_no, __k, __after, __word, __size) whose word has a misread character, with ``meant``.
+    """The rows of ``words`` (ident, line_no, __k, __after, __word, __size, __place) whose word has a misread character, with ``meant``.
 
-    All words are counted over all books and grouped by skeleton; the most frequent form of a group stands for a rare
-    one if it is RATIO_ALONE times as frequent, or RATIO_IN_CONTEXT times and the pair it makes with the word before
-    or behind stands elsewhere too. Words with figures among their letters need no such form; ``meant`` is null then.
+    All words are counted over all books and grouped by skeleton. The forms of a group that are RATIO_IN_CONTEXT times
+    as frequent as a rare one are compared in each place by how often they stand beside the word before and the word
+    behind elsewhere; the best supported one is meant, of equal ones the most frequent. Where none is supported the
+    most frequent one is, if it is RATIO_ALONE times as frequent. Words with figures among their letters need no such
+    form; ``meant`` is null then.
     """
     low = F.lower(F.regexp_replace("__word", "’", "'"))
     order = Window.partitionBy(ident).orderBy("line_no", "__k")
     rows = words.select(
-        ident, "line_no", "__k", "__after", "__word", "__size", low.alias("__low"),
+        ident, "line_no", "__k", "__after", "__word", "__size", "__place", low.alias("__low"),
         F.lag(low).over(order).alias("__before"), F.lead(low).over(order).alias("__next"),
     )
     counts = cut(rows.groupBy("__low").agg(F.count(F.lit(1)).alias("n")))
     shaped = counts.where((F.length("__low") >= 2) & ~F.col("__low").rlike(r"^\d+$")).mapInPandas(
         _skeleton_rows, "__low string, n long, __skeleton string, own boolean"
     )
-    form = F.struct("n", "__low")
-    tops = shaped.where("own").groupBy("__skeleton").agg(F.max(form).alias("top"))
+    forms = shaped.where(F.col("own") & (F.col("n") >= RATIO_IN_CONTEXT) & ~F.col("__low").rlike(r"\d|!")).select("__skeleton", F.col("n").alias("__m"), F.col("__low").alias("meant"))
     better = (
-        shaped.join(tops, "__skeleton")
-        .where((F.col("top.__low") != F.col("__low")) & (F.col("top.n") >= F.col("n") * RATIO_IN_CONTEXT) & ~F.col("top.__low").rlike(r"\d|!"))
+        shaped.join(forms, "__skeleton")
+        .where((F.col("meant") != F.col("__low")) & (F.col("__m") >= F.col("n") * RATIO_IN_CONTEXT))
         .groupBy("__low")
-        .agg(F.max("n").alias("n"), F.max("top").alias("top"))
-        .select("__low", F.col("n").alias("__n"), F.col("top.n").alias("__m"), F.col("top.__low").alias("meant"))
+        .agg(F.max("n").alias("__n"), F.collect_set(F.struct("__m", "meant")).alias("__forms"))
     )
     mixed = F.udf(_mixed, "boolean")
     odd = counts.where(F.col("__low").rlike(r"[\d!|$€]") & ~F.col("__low").rlike(r"^\d+$")).where(mixed("__low")).select("__low", F.lit(True).alias("__odd"))
-    wanted = better.join(odd, "__low", "full").select("__low", "__n", "__m", "meant", F.coalesce("__odd", F.lit(False)).alias("__odd"))
+    wanted = better.join(odd, "__low", "full").select("__low", "__n", "__forms", F.coalesce("__odd", F.lit(False)).alias("__odd"))
     suspects = cut(small_side_join(rows, wanted, ["__low"]))
     pairs = rows.where(F.col("__before").isNotNull()).groupBy(F.col("__before").alias("__a"), F.col("__low").alias("__b")).agg(F.count(F.lit(1)).alias("__pairs"))
-    sides = suspects.select(ident, "line_no", "__k", F.col("__before").alias("__a"), F.col("meant").alias("__b")).unionByName(
-        suspects.select(ident, "line_no", "__k", F.col("meant").alias("__a"), F.col("__next").alias("__b"))
+    place = [ident, "line_no", "__k"]
+    each = suspects.select(*place, "__before", "__next", F.explode("__forms").alias("__form"))
+    sides = each.select(*place, "__form", F.col("__before").alias("__a"), F.col("__form.meant").alias("__b")).unionByName(
+        each.select(*place, "__form", F.col("__form.meant").alias("__a"), F.col("__next").alias("__b"))
     )
-    backed = sides.join(pairs, ["__a", "__b"]).select(ident, "line_no", "__k").distinct().withColumn("__backed", F.lit(True))
-    told = suspects.join(backed, [ident, "line_no", "__k"], "left")
+    # the product of the counts of both sides: one frequent neighbour alone doesn't settle it against two
+    backed = sides.join(pairs, ["__a", "__b"]).groupBy(*place, "__form").agg(F.sum(F.log1p("__pairs")).alias("__support"))
+    chosen = backed.groupBy(*place).agg(F.max(F.struct("__support", "__form")).alias("__best"))
+    form = F.coalesce("__best.__form", F.array_max("__forms"))
+    told = suspects.join(chosen, place, "left").withColumn("__m", form["__m"]).withColumn("meant", form["meant"])
     alone = (F.col("__m") >= F.col("__n") * RATIO_ALONE) & (F.col("__m") >= FREQUENT)
-    return told.where(F.col("__odd") | alone | F.col("__backed"))
+    return told.where(F.col("__odd") | alone | F.col("__best").isNotNull()).drop("__forms", "__best")
 
 
 def _places(ident: str):
@@ -303,7 +309,7 @@ def _places(ident: str):
                 else:
                     first = next((i for i, c in enumerate(word) if not c.isalpha()), 0)
                 at.append(line if first < size else after)
-            yield pd.DataFrame({ident: batch[ident], "line_no": at, "__word": batch["__word"], "meant": batch["meant"], "__k": batch["__k"]})
+            yield pd.DataFrame({ident: batch[ident], "line_no": at, "__word": batch["__word"], "meant": batch["meant"], "__place": batch["__place"].where(batch["__after"] < 0)})
 
     return run
 
@@ -314,7 +320,7 @@ def affected_lines(df: DataFrame, ident: str = "file_id", title: str = "title",
     lines = rows.where(F.col("kind").isNotNull()).select(ident, "line_no", "kind")
     words = rows.where(F.col("__word").isNotNull())
     key = df.schema[ident].dataType.simpleString()
-    places = misread_words(words, ident).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __k int")
+    places = misread_words(words, ident).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __place int")
     return lines.unionByName(places.select(ident, "line_no", F.lit("misread").alias("kind")).distinct())
 
 
@@ -328,9 +334,8 @@ def paragraphs(df: DataFrame, ident: str = "file_id", title: str = "title", auth
     rows = cut(parsed(df, ident, title, author, text))
     words = rows.where(F.col("__word").isNotNull())
     key = df.schema[ident].dataType.simpleString()
-    wrong = misread_words(words, ident).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __k int")
-    fixes = wrong.where(F.col("meant").isNotNull()).groupBy(ident, "line_no").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("__word", "meant")))).alias("__fixes"))
-    fixes = fixes.withColumn("__fixes", F.col("__fixes"))
+    wrong = misread_words(words, ident).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __place int")
+    fixes = wrong.where(F.col("meant").isNotNull() & F.col("__place").isNotNull()).groupBy(ident, "line_no").agg(F.collect_list(F.struct("__place", "__word", "meant")).alias("__fixes"))
     lines = rows.where(F.col("raw").isNotNull()).join(fixes, [ident, "line_no"], "left")
     clean = F.regexp_replace("raw", r"[\r\f\x0b ]", "")
     order = Window.partitionBy(ident).orderBy("line_no")
@@ -342,17 +347,20 @@ def paragraphs(df: DataFrame, ident: str = "file_id", title: str = "title", auth
     lines = lines.where(~(blank & (F.col("__gap") | F.coalesce("__ahead", F.lit(False)))))
     before_blank = F.lag(blank, 1, True).over(order)
     starts = blank | before_blank | F.col("__text").rlike(r"^\s{2,}\S") | F.col("opening") | F.lag("opening", 1, False).over(order)
-    numbered = lines.select(ident, "line_no", "kind", "__text", "__fixes", F.sum(F.when(starts, 1).otherwise(0)).over(order).alias("__p"), blank.alias("__blank"))
+    numbered = lines.select(ident, "line_no", "kind", "raw", "__fixes", F.sum(F.when(starts, 1).otherwise(0)).over(order).alias("__p"), blank.alias("__blank"))
     numbered = numbered.where(~F.col("__blank"))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for x, fixes_, kind in zip(batch["__text"], batch["__fixes"], batch["kind"]):
-                x = x.strip()
-                for word, meant in (dict(fixes_) if fixes_ is not None else {}).items():
-                    new = meant.capitalize() if word[:1].isupper() else meant
-                    x = re.sub(rf"(?<!\w){re.escape(word)}(?!\w)", lambda m, new=new: new, x)
+            for x, fixes_, kind in zip(batch["raw"], batch["__fixes"], batch["kind"]):
+                plain = re.sub("[\r\f\x0b\u2028]", " ", x)  # as the words were told apart
+                start = len(plain) - len(plain.lstrip())
+                found = [m.span() for m in _TOKEN.finditer(plain.strip())] if fixes_ is not None else []
+                for fix in sorted(fixes_ if fixes_ is not None else [], key=lambda f: -f["__place"]):
+                    (a, b), word, meant = found[fix["__place"]], fix["__word"], fix["meant"]
+                    x = x[: start + a] + (meant.capitalize() if word[:1].isupper() else meant) + x[start + b :]
+                x = re.sub("[\r\f\x0b\u2028]", "", x).strip()
                 if kind == "hyphen_break":
                     x = re.sub(rf"[{HYPHENS}]\s*$", "\x00" if re.search(r"[-‐‑]\s*$", x) else "\x01", x)
                 out.append(x)

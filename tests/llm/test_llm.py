@@ -209,6 +209,14 @@ def test_books(rows):
     assert books.affected_lines(book(rows, ("T", "A", None, "x"))).count() == 0
 
 
+def test_neighbours_choose_the_form(rows):
+    body = "La colline est abrité par le mur.\n" * 190 + "Un toit qui abrite encore les bêtes.\n" * 180
+    wrong = "Un toit qui abritc encore les bêtes.\nLa colline est abritc par le mur.\nDemain abritc jamais.\nIl est abritc par un toit qui abritc encore.\n"
+    made = " ".join(r["text"] for r in books.paragraphs(book(rows, ("T", "A", body + wrong, "x"))).collect())
+    # the form that stands beside both neighbours, the most frequent one where none does, and either in one line
+    assert made.endswith("Un toit qui abrite encore les bêtes. La colline est abrité par le mur. Demain abrité jamais. Il est abrité par un toit qui abrite encore.")
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 PROSE = "Le moulin de la colline garde encore ses vieilles pierres, et chacun vient y chercher la farine du matin. "
