@@ -228,49 +228,68 @@ class Pairs:
 def swap_spans(text: str, model: Pairs) -> tuple[str, int, list[str]]:
     """As :func:`decode_spans` for one-byte encodings taken for one another.
 
-    For each two encodings, what the pairs of letters would gain is added up along the text, and the stretch with the
-    largest sum is read anew if that gains enough.
+    For each two encodings, what the pairs of letters would gain is added up along the text, and the stretches with the
+    largest sums are read anew where that gains enough, until none does. A character is read anew ROUNDS times at most,
+    which ends it.
     """
     how: list[str] = []
     if not len(model.codes) or not _MISPLACED.search(text):
         return text, 0, how
     letters = _letters()
-    for _ in range(ROUNDS):
-        points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    times = np.zeros(len(points), np.uint8)
+    while True:
         low = np.minimum(points, LAST_CODE)
         at = np.flatnonzero((low[:-1] > 127) | (low[1:] > 127))
         x, y = low[at], low[at + 1]
         old = model.log(x.astype(np.int64) << 16 | y)
         both = letters[x] & letters[y]
-        present = set(np.unique(low[low > 127]).tolist())
-        best = (LEAST_GAIN, 0, 0, "", None)
+        often = times >= ROUNDS
+        present = set(np.unique(low[(low > 127) & ~often]).tolist())
+        better: list[tuple[float, int, int, str, np.ndarray]] = []
         for shown, was, changes, table in _swaps():
             if present.isdisjoint(changes):
                 continue
-            u, v = table[x], table[y]
+            u, v = np.where(often[at], x, table[x]), np.where(often[at + 1], y, table[y])
             gain = np.where(letters[u] & letters[v], model.log(u.astype(np.int64) << 16 | v) - old, np.where(both, -3.0, 0.0))
             gain[(u == x) & (v == y)] = 0
-            sums = np.concatenate([[0], np.cumsum(gain)])
-            least = np.minimum.accumulate(sums)
-            j = int(np.argmax(sums - least))
-            total = sums[j] - least[j]
-            if total > best[0]:
-                i = int(np.argmin(sums[: j + 1]))
-                if total >= LEAST_MEAN_GAIN * np.count_nonzero(gain[i:j]):
-                    while i and gain[i - 1] == 0:
-                        i -= 1
-                    while j < len(gain) and gain[j] == 0:
-                        j += 1
-                    best = (total, i, j, f"{was}>{shown}", table)
-        if best[4] is None:
+            better += [(total, first, last, f"{was}>{shown}", table) for total, first, last in _stretches(gain, at)]
+        taken = np.zeros(len(points) + 1, bool)
+        for _, first, last, name, table in sorted(better, key=lambda s: -s[0]):
+            if taken[first - 1 if first else 0 : last + 1].any():  # beside one that is read anew now: the next round tells
+                continue
+            taken[first:last] = True
+            part = points[first:last]
+            new = np.where((part < LAST_CODE) & ~often[first:last], table[np.minimum(part, LAST_CODE)], part)
+            times[first:last] += new != part
+            points[first:last] = new
+            how.append(name)
+        if not better:
             break
-        first, last = at[best[1]], at[best[2] - 1] + 2
-        new = points.copy()
-        part = new[first:last]
-        new[first:last] = np.where(part < LAST_CODE, best[4][np.minimum(part, LAST_CODE)], part)
-        text = new[1:-1].tobytes().decode("utf-32-le", "surrogatepass")
-        how.append(best[3])
-    return text, len(how), how
+    return points[1:-1].tobytes().decode("utf-32-le", "surrogatepass"), len(how), how
+
+
+def _stretches(gain: np.ndarray, at: np.ndarray) -> list[tuple[float, int, int]]:
+    """(gain, start, end) of the stretches of characters that gain enough: one between any two new lows of the sum."""
+    sums = np.concatenate([[0], np.cumsum(gain)])
+    least = np.minimum.accumulate(sums)
+    over = sums - least
+    if over.max() <= LEAST_GAIN:
+        return []
+    lows = np.flatnonzero(sums == least)
+    out = []
+    for k in np.flatnonzero(np.maximum.reduceat(over, lows) > LEAST_GAIN):
+        i, end = int(lows[k]), int(lows[k + 1]) if k + 1 < len(lows) else len(sums)
+        j = i + int(np.argmax(over[i:end]))
+        total = float(over[j])
+        if total < LEAST_MEAN_GAIN * np.count_nonzero(gain[i:j]):
+            continue
+        while i and gain[i - 1] == 0:
+            i -= 1
+        while j < len(gain) and gain[j] == 0:
+            j += 1
+        out.append((total, int(at[i]), int(at[j - 1]) + 2))
+    return out
 
 
 def inspect(text: str, model: Pairs) -> tuple[bool, str | None, int, str | None]:

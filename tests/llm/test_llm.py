@@ -281,6 +281,24 @@ def test_inspected(rows):
     assert encoding.inspected(rows([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("passages", [4, 5, 12])
+def test_every_passage_is_restored(rows, passages):
+    fine = "La forêt ensoleillée précède l'été léger. "
+    text = (fine + fine.encode("cp1252").decode("mac_roman")) * passages
+    got = encoding.inspected(rows([(i, fine * 3) for i in range(200)] + [(500, text)], "doc_id long, text string")).where("doc_id = 500").collect()
+    assert got[0]["original"] == fine * 2 * passages and got[0]["spans"] >= passages
+
+
+def test_rereading_ends():
+    class Fickle(encoding.Pairs):  # likes every reading more than the last one
+        def log(self, codes):
+            self.calls = getattr(self, "calls", 0) + 1
+            return np.full(len(codes), 20.0 * self.calls)
+
+    text, n, how = encoding.swap_spans("forêt ensoleillée " * 3 + "forÍt", Fickle(np.array([1]), np.array([1])))
+    assert n == len(how) and len(text) == 59
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
