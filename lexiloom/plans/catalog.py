@@ -594,6 +594,17 @@ def repetition_penalty(spark: SparkSession, d: str) -> DataFrame:
     return out.select("context", "id", F.round("logit", 9).alias("logit"))
 
 
+@query("""
+with l as (select vec_id as context, unnest(range(len(embedding))) as id, unnest(embedding)::double * 10 as logit from embeddings),
+h as (select distinct vec_id as context, (vec_id * 31 + j * 17) % len(embedding) as id, true as seen from embeddings, range(6) r(j) where len(embedding) > 0)
+select context, id::int as id, round(case when seen is null then logit when logit < 0 then logit * 1.2 else logit / 1.2 end, 9) as logit from l left join h using (context, id)""")
+def repetition_penalty_all_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The penalty over whole vectors, with up to six ids from all of them in each history."""
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: ((F.col("vec_id") * 31 + j * 17) % F.size("embedding")).cast("int")))
+    history = read(spark, d, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").alias("context"), at.alias("id"))
+    return sampling.penalised(_logits(spark, d), history, 1.2).select("context", "id", F.round("logit", 9).alias("logit"))
+
+
 @query("""
 with s as (select i as step from range(0, 1001) r(i))
 select step::bigint as step, round(case when step < 100 then 0.0003 * step / 100 else 0.0003 * (0.1 + 0.9 * (1 + cos(pi() * least(1.0, (step - 100) / 900.0))) / 2) end, 12) as rate from s""")

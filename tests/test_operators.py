@@ -241,6 +241,17 @@ def test_sampling(rows):
     assert [r["id"] for r in sampling.strongest(logits, 1, end=0).orderBy("rank").collect()] == [1, 0]
 
 
+def test_penalty_query_covers_all_ids(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    vectors = [(c, [(-1.0) ** i * (i + 1) for i in range(64)]) for c in (0, 7)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["context"], r["id"]): r["logit"] for r in entry.queries()["repetition_penalty_all_ids"](spark, str(tmp_path)).collect()}
+    seen = {(c, (c * 31 + j * 17) % 64) for c in (0, 7) for j in range(6)}
+    bent = lambda x: x * 1.2 if x < 0 else x / 1.2
+    assert got == {(c, i): round(bent(x * 10) if (c, i) in seen else x * 10, 9) for c, v in vectors for i, x in enumerate(v)}
+
+
 def test_audit(rows):
     df = rows([("a", "x", "aé"), ("b", "x", "<|end|>"), ("c", "y", "🦀\x00"), ("d", "y", None)], "id string, domain string, text string")
     by_bytes = audit.byte_measured(df, "id", keep=("domain",))
