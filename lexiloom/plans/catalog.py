@@ -516,6 +516,28 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
     return shards.windows(_shards(spark, d), wanted, SHARD_TOKENS)
 
 
+SEQUENCE = 1024
+# Bytes as "3C 7C ", in which the markers are found at bytes' bounds only.
+_PAIRED = f"regexp_replace({_hex('t')}, '(..)', '\\1 ', 'g')"
+for _id, _marker in enumerate(tx.MARKERS):
+    _PAIRED = f"replace({_PAIRED}, '{_marker.encode().hex(' ').upper()} ', '#{_id} ')"
+
+
+@query(f"""
+with s as ({_START}), d as (select s.partition_name as split, s.start, {_WHOLE} as t from s join articles using (record_id)),
+i as (select split, start, list_concat(list_transform(list_filter(string_split({_PAIRED}, ' '), lambda x: x <> ''), lambda x: case when x[1] = '#' then x[2]::int else ('0x' || x)::int + 3 end), [2, 13]) as ids from d),
+t as (select split, start + unnest(range(len(ids))) as pos, unnest(ids) as token from i),
+w as (select split, pos // {SEQUENCE} as k, pos, token from t union all select split, pos // {SEQUENCE} - 1, pos, token from t where pos > 0 and pos % {SEQUENCE} = 0)
+select split, (k * {SEQUENCE})::bigint as start, count(*)::bigint as len, list(token order by pos)::int[] as tokens from w group by split, k having count(*) = {SEQUENCE + 1}""")
+def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
+    """A sequence and the token behind it at each multiple of the sequence, over the whole stream of each split."""
+    stream = _stream(spark, d)
+    ends = stream.groupBy(F.col("partition_name").alias("split")).agg(F.max(F.col("start") + F.col("n")).alias("end")).where(F.col("end") > SEQUENCE)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - SEQUENCE - 1, F.lit(SEQUENCE).cast("long")))
+    wanted = ends.select("split", starts.alias("start"), F.lit(SEQUENCE + 1).cast("long").alias("len"))
+    return shards.windows(shards.shards(stream, "partition_name", SHARD_TOKENS), wanted, SHARD_TOKENS)
+
+
 @query("""
 with t as (select 1453862 as n, 1024 as seq, 256 as k) select i, (i * (n - seq - 1) // (k - 1))::bigint as start from t, range(256) r(i)""")
 def evaluation_starts(spark: SparkSession, d: str) -> DataFrame:

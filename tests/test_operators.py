@@ -207,6 +207,20 @@ def test_shards_and_windows(rows, spark, size):
     assert {r["id"] for r in shards.unknown_ids(made, spark.range(3, 259)).collect()} == {0, 1, 2}
 
 
+def test_sequence_windows_cover_the_streams(rows, spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["un deux <|user|>é<|end|>" * 5000, "x" * 1022, "", None, "y" * 1023, "z" * 9]
+    splits = ["train", "test", "train", "train", "validation", None]
+    data = [(i, s, t) for i, (s, t) in enumerate(zip(splits, texts))]
+    rows(data, "record_id long, partition_name string, text string").write.parquet(f"{tmp_path}/articles.parquet")
+    encode, _ = audit.byte_codec()
+    streams = {s: [x for z, t in zip(splits, texts) if z == s for x in encode((t or "").strip() + "<|end|>\n")] for s in ("train", "test", "validation")}
+    got = {(r["split"], r["start"]): r["tokens"] for r in entry.queries()["sequence_windows"](spark, str(tmp_path)).collect()}
+    assert got == {(s, a): x[a : a + 1025] for s, x in streams.items() for a in range(0, len(x) - 1024, 1024)}
+    assert len(streams["test"]) == 1024 and ("validation", 0) in got and any(a // 50_000 != (a + 1024) // 50_000 for _, a in got)
+
+
 def test_starts(spark):
     assert [r["start"] for r in shards.evaluation_starts(spark, 20, 9, 3).orderBy("i").collect()] == [0, 5, 10]
     assert shards.evaluation_starts(spark, 10, 9, 3).count() == 1
