@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from lexiloom.operators import quality
 
 TITLE_CHARS, BODY_CHARS, QUERY_CHARS, MOST_RESULTS = 512, 100_000, 512, 100
 TITLE_WEIGHT = 6
+#: Undecided rows of an insertion that one task goes through in order.
+ONE_TASK = 500_000
 
 
 def stored(df: DataFrame, version: int = 1) -> DataFrame:
@@ -54,22 +60,41 @@ def insert_exactly(fresh: DataFrame, order: str, rounds: int = 100) -> DataFrame
     """Rows that stand in the order of ``order`` (unique) if a row falls where an earlier standing one has its text or revision.
 
     In rounds: a row that is the first undecided one under both of its keys stands, and what shares a key with a
-    standing earlier row falls. Each round groups by key, with the least position only.
+    standing earlier row falls. Each round groups by key, with the least position only. The first undecided row stands
+    in each round, so they end; what long chains leave undecided after ``rounds`` of them, one task goes through in
+    order if it is at most ONE_TASK rows. A row without text never stands.
     """
     from lexiloom.runtime import cut
 
-    rows = cut(fresh.select(F.col(order).alias("p"), F.col("text_sha256").alias("t"), F.concat_ws(":", "identity_sha256", F.col("article.revision_id").cast("string")).alias("r")))
+    rows = cut(fresh.select(F.col(order).alias("p"), F.col("text_sha256").alias("t"), F.concat_ws(":", "identity_sha256", F.col("article.revision_id").cast("string")).alias("r")).where("t is not null"))
     kept: DataFrame | None = None
-    for _ in range(rounds):
+    for done in count(1):
         first_t, first_r = rows.groupBy("t").agg(F.min("p").alias("pt")), rows.groupBy("r").agg(F.min("p").alias("pr"))
         stands = cut(rows.join(first_t, "t").join(first_r, "r").where("p = pt and p = pr").select("p", "t", "r"))
         kept = stands.select("p") if kept is None else kept.unionByName(stands.select("p"))
         rows = cut(rows.join(stands.select("t"), "t", "left_anti").join(stands.select("r").distinct(), "r", "left_anti"))
         if rows.limit(1).count() == 0:
             break
+        if done >= rounds and rows.limit(ONE_TASK + 1).count() <= ONE_TASK:
+            kept = kept.unionByName(rows.coalesce(1).mapInPandas(_one_by_one, f"p {rows.schema['p'].dataType.simpleString()}"))
+            break
     return fresh.join(kept.select(F.col("p").alias(order)), order, "left_semi")
 
 
+def _one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts, texts, revisions = list(batches), set(), set()
+    if not parts:
+        return
+    rows = pd.concat(parts).sort_values("p")
+    stands = []
+    for t, r in zip(rows["t"], rows["r"]):
+        stands.append(t not in texts and r not in revisions)
+        if stands[-1]:
+            texts.add(t)
+            revisions.add(r)
+    yield rows.loc[stands, ["p"]]
+
+
 def latest(df: DataFrame, ident: str = "record_id") -> DataFrame:
     """The row of the highest revision of each (language, id); of equal ones that of the least ``ident``.
 

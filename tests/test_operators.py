@@ -184,6 +184,15 @@ def test_rehearsal(rows):
     assert {r["part"]: r["count"] for r in got} == {"web": 1, "old": 4}
 
 
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_chains_are_inserted_whole(rows, monkeypatch, one_task):
+    monkeypatch.setattr(library, "ONE_TASK", one_task, raising=False)
+    # row i has its text with row i - 1 and its revision with row i + 1, or the other way round, so every second one stands
+    chain = [(i, f"t{i // 2}", "a", ((i + 1) // 2,)) for i in range(16)] + [(99, "t99", "b", (1,))]
+    fresh = rows(chain, "o long, text_sha256 string, identity_sha256 string, article struct<revision_id:int>")
+    assert sorted(r["o"] for r in library.insert_exactly(fresh, "o", rounds=2).collect()) == [*range(0, 16, 2), 99]
+
+
 @pytest.mark.parametrize("size", [13, 1000])
 def test_shards_and_windows(rows, spark, size):
     texts = ["un deux", "", None, "é🦀", "<|user|>a<|assistant|>b", "x" * 40]
