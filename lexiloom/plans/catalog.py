@@ -440,7 +440,7 @@ select lang as domain, grouping(lang)::int as total, count(*) as samples, sum(st
   count(*) as exact, null::bigint as unknown, sum(strlen(text)) / sum({_BYTES}) as bytes_per_token, sum({_BYTES}) / sum(length(text)) as tokens_per_char
 from documents where text is not null group by rollup (lang)""")
 def byte_audit(spark: SparkSession, d: str) -> DataFrame:
-    rows = audit.byte_measured(read(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("domain")), "doc_id", keep=("domain",))
+    rows = audit.measured(read(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("domain")), audit.byte_codec, "doc_id", keep=("domain",))
     out = audit.report(rows)
     return out.withColumn("total", F.col("total").cast("int"))
 

@@ -299,3 +299,13 @@ def test_small_side_join_both_ways(rows):
     for how in ("inner", "left", "left_semi", "left_anti"):
         a = sorted(map(str, small_side_join(big, small, ["k"], how).collect()))
         assert a == sorted(map(str, small_side_join(big, small, ["k"], how, rows=0).collect())) and a
+
+
+def test_audit_query_measures_exactness(rows, spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    encode, decode = audit.byte_codec()
+    rows([(1, "é<|end|>", "fr"), (2, "lost", "fr"), (3, None, "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(audit, "byte_codec", lambda: (encode, lambda ids: decode(ids).replace("lost", "")))
+    total = entry.queries()["byte_audit"](spark, str(tmp_path)).where("total = 1").first()
+    assert (total["samples"], total["exact"]) == (2, 1)
