@@ -37,12 +37,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation records per split and source, those found in train, and the pairs they are in."""
-    found = overlap.overlaps(_records(spark, d, "text")).groupBy(F.col("evaluation").alias("record_id")).agg(F.count(F.lit(1)).alias("n"))
-    records = _records(spark, d, "source_id").where(F.col("partition_name").isin(*overlap.EVALUATION))
+    """Records per split and source, those of them found in another split, the pairs they are in, and of train records
+    the maximal spans and the words that stand in evaluation records."""
+    pairs_ = overlap.overlaps(_records(spark, d, "text"))
+    sides = F.array(F.struct(F.col("train").alias("record_id"), "spans", "words"), F.struct(F.col("evaluation").alias("record_id"), F.lit(None).cast("int").alias("spans"), F.lit(None).cast("int").alias("words")))
+    found = pairs_.select(F.explode(sides).alias("s")).groupBy("s.record_id").agg(F.count(F.lit(1)).alias("n"), F.sum("s.spans").alias("spans"), F.sum("s.words").alias("words"))
+    records = _records(spark, d, "source_id").where(F.col("partition_name").isin(overlap.TRAIN, *overlap.EVALUATION))
     joined = records.join(found, "record_id", "left")
     return joined.groupBy("partition_name", "source_id").agg(
-        F.count(F.lit(1)).alias("records"), F.count("n").alias("found_in_train"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")
+        F.count(F.lit(1)).alias("records"),
+        F.count("n").alias("found"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"),
+        F.sum("spans").alias("spans"),
+        F.sum("words").alias("words"),
     )
 
 

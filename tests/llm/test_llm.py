@@ -158,18 +158,41 @@ def test_overlaps_of_nothing(rows):
     assert overlap.overlaps(rows([(1, "a " * 30, "train")], schema).unionByName(rows([(2, None, "test")], schema))).count() == 0
 
 
-def test_backward_search_finds_maximal_matches():
+def test_backward_search_finds_all_occurrences():
     r = np.random.default_rng(1)
     texts_ = [r.integers(1, 4, 60).astype(np.uint64) for _ in range(5)]
     index = overlap.Index(**overlap.build(texts_))
-    query = np.concatenate([r.integers(1, 4, 10), texts_[2][10:40], r.integers(1, 4, 10)]).astype(np.uint64)
-    ids = index.ids(query)
-    start, length, low, high = index.matches(ids, np.array([len(ids)]), np.array([0]))
+    query = np.concatenate([r.integers(1, 5, 10), texts_[2][10:40], r.integers(1, 4, 10)]).astype(np.uint64)
+    block = overlap.Block.make(query, np.array([len(query)]))
+    low, high = index.search(block)
     joined = [t.tolist() for t in texts_]
-    for s, n, a, b in zip(start, length, low, high):
-        part = query[s : s + n].tolist()
-        assert b - a == sum(part == t[i : i + n] for t in joined for i in range(len(t)))
-    assert length.max() >= 25
+    for i, g in enumerate(block.places):
+        part = query[i : i + 3].tolist()
+        assert high[g] - low[g] == sum(part == t[k : k + 3] for t in joined for k in range(len(t)))
+        assert sorted(index.posts[index.at[low[g]] : index.at[high[g]]]) == [k for k, t in enumerate(joined) if any(part == t[j : j + 3] for j in range(len(t)))]
+
+
+def test_sorted_numbers_with_and_without_packing():
+    for top in (50, 1 << 61):
+        x = np.random.default_rng(2).integers(0, top, 300)
+        ordered, order = overlap._sorted(x)
+        assert (ordered == np.sort(x)).all() and (order == np.argsort(x, kind="stable")).all()
+        codes, distinct = overlap._numbered(x)
+        assert (distinct[codes] == x).all() and (distinct == np.unique(x)).all()
+
+
+def test_overlaps_of_frequent_texts_and_their_spans(rows):
+    text = [f"w{i}" for i in range(40)]
+    near = [*text[:12], "x", *text[13:]]
+    far = [*text[:20], *[f"z{i}" for i in range(20)]]
+    data = [(i, " ".join(text), s) for i, s in enumerate(["train"] * 6 + ["test"] * 30 + ["validation"] * 30)]
+    data += [(100, " ".join(near), "train"), (101, " ".join(far), "train"), (102, "\U00030000\U00030001 " * 15, "train"), (103, "\U00030000\U00030001 " * 15, "test")]
+    df = rows(data, "record_id long, text string, partition_name string").withColumn("words", F.lit("a clash")).repartition(3)
+    got = {(x["train"], x["evaluation"]): (x["share"], x["spans"], x["words"]) for x in overlap.overlaps(df).collect()}
+    assert len(got) == 7 * 60 and all(got[i, j] == (1.0, 1, 40) for i in range(6) for j in range(6, 66))
+    assert {x for (i, _), x in got.items() if i == 100} == {(35 / 41, 2, 39)}
+    many = [(1000, " ".join(["y"] * 30), "train"), (1001, " ".join(["y"] * 50), "test"), (1002, " ".join(f"{'abc'[i % 3]}" for i in range(30)), "test")]
+    assert {(x["train"], x["evaluation"]) for x in overlap.overlaps(rows(many, "record_id long, text string, partition_name string")).collect()} == {(1000, 1001)}
 
 
 # --- books -----------------------------------------------------------------------------------------------------------
