@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.llm import languages
 from lexiloom.llm.words import COMMON
+from lexiloom.runtime import cut
 
 #: Rows that the terminal-context model is fitted on at most, by the order of a hash of the answer.
 SAMPLE_ROWS = 8_000
 #: Weights of the terminal-context model, and the probability below which a context is not the end of a sentence.
 WEIGHTS, LEAST_TERMINAL = 1 << 18, 0.5
 #: Bytes that a copied answer may need beyond its prompt as dictionary: this many and this share of its length.
-COPY_BYTES, COPY_SHARE = 14, 0.2
-LANGUAGES = ("fr", "en", "de", "es")
+COPY_BYTES, COPY_SHARE = 16, 0.25
 
 #: What stands in for a missing answer, in lower case without brackets and outer punctuation.
 STANDINS = {
@@ -52,6 +53,18 @@ REFUSALS = [
         r"(?:kann|darf|möchte|werde|muss|bin|ist (?:es )?mir|lehne|außerhalb)",
         r"(?:nicht (?:beantworten|helfen|antworten|behandeln|besprechen|eingehen|erfüllen|bearbeiten|sprechen|weiterhelfen|in der lage|befugt|berechtigt)|ablehnen|nicht möglich|unmöglich|nicht erlaubt|nicht gestattet|nicht dabei helfen|dessen, was)",
     ),
+    (
+        r"(?:não (?:posso|poderei|devo|quero|consigo|estou autorizad[oa]|me é (?:possível|permitido))|prefiro não|recuso|devo recusar|é-me impossível)",
+        r"(?:ajudar|responder|tratar|tema|pedido|pergunta|solicitação|falar|atender)",
+    ),
+    (
+        r"(?:non (?:posso|potrò|devo|voglio|sono (?:in grado|autorizzat[oa])|mi è (?:possibile|permesso))|preferisco non|rifiuto|devo rifiutare|mi è impossibile)",
+        r"(?:aiutar|rispondere|trattare|argomento|richiesta|domanda|parlare|discutere)",
+    ),
+    (
+        r"(?:kan|mag|wil|zal|ben) (?:u |je |hier |daar |helaas )*niet|niet in staat|weiger|liever niet",
+        r"(?:helpen|beantwoorden|antwoorden|bespreken|ingaan|vraag|verzoek|onderwerp)",
+    ),
 ]
 _REFUSALS = [re.compile(rf"{a}[^.!?\n]{{0,60}}?{b}", re.I) for a, b in REFUSALS]
 
@@ -61,9 +74,26 @@ ASKED = {
     "en": r"anglais|english|ingl[ée]s|englisch",
     "de": r"allemand|german|alem[áa]n|deutsch",
     "es": r"espagnol|spanish|espa[ñn]ol|spanisch|castellano",
+    "pt": r"portugais|portuguese|portugu[ée]s|portugiesisch",
+    "it": r"italien|italian|italiano|italienisch",
+    "nl": r"n[ée]erlandais|dutch|neerland[ée]s|niederl[äa]ndisch|nederlands",
+    "pl": r"polonais|polish|polaco|polnisch|polski",
+    "sv": r"su[ée]dois|swedish|sueco|schwedisch|svenska",
+    "da": r"danois|danish|dan[ée]s|d[äa]nisch|dansk",
+    "ro": r"roumain|romanian|rumano|rum[äa]nisch",
+    "cs": r"tch[èe]que|czech|checo|tschechisch",
+    "tr": r"turc|turkish|turco|t[üu]rkisch",
+    "greek": r"grec|greek|griego|griechisch",
+    "cyrillic": r"russe|russian|ruso|russisch|ukrainien|ukrainian|bulgare|bulgarian",
+    "hebrew": r"h[ée]breu|hebrew|hebreo|hebr[äa]isch",
+    "arabic": r"arabe|arabic|[áa]rabe|arabisch|persan|persian|ourdou|urdu",
+    "devanagari": r"hindi",
+    "thai": r"tha[iï]|thail[äa]ndisch",
+    "hangul": r"cor[ée]en|korean|coreano|koreanisch",
+    "kana": r"japonais|japanese|japon[ée]s|japanisch",
+    "han": r"chinois|chinese|chino|chinesisch|mandarin",
 }
 _ASKED = {k: re.compile(rf"\b(?:{v})\b", re.I) for k, v in ASKED.items()}
-_HINTS = {"es": re.compile("[ñ¿¡]"), "de": re.compile("[ßäöü]"), "fr": re.compile("[çèêàùœîûâ]"), "en": re.compile("’t|’s")}
 
 _INVISIBLE = re.compile(r"[\s­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿\x00-\x1f\x7f-\x9f]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -86,39 +116,51 @@ def _tokens(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def copy_bytes(question: str, answer: str) -> tuple[int, int]:
-    """Compressed bytes of the answer with the question as dictionary, and the length of the answer in bytes."""
+@lru_cache(1)
+def _parameters():  # noqa: ANN202
+    import zstandard as z
+
+    return z.ZstdCompressionParameters.from_level(3, format=z.FORMAT_ZSTD1_MAGICLESS, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def copy_bytes(question: str, answer: str) -> int:
+    """Compressed bytes of the answer with the question as dictionary."""
     import zstandard as z
 
-    plain = lambda s: " ".join(_tokens(s)).encode()
-    q, a = plain(question), plain(answer)
-    if len(q) < 8:
-        return len(a), len(a)
-    params = z.ZstdCompressionParameters.from_level(
-        3, format=z.FORMAT_ZSTD1_MAGICLESS, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False
-    )
-    packed = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(q, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
-    return len(packed.compress(a)), len(a)
+    held = z.ZstdCompressionDict(question.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+    return len(z.ZstdCompressor(dict_data=held, compression_params=_parameters()).compress(answer.encode()))
+
+
+def _mistyped(a: str, b: str) -> bool:
+    """Whether a word is another one but for one letter, or two letters that changed places, in words of four or more."""
+    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1 or a.isdigit() or b.isdigit():
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    swapped = len(a) == len(b) and a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+    return swapped or a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """The question's words, once or more, and no word besides but for a label.
+    """The whole question, once or more, and nothing besides but for a label, stray signs or mistyped letters.
 
-    Candidates are the answers that cost next to nothing beyond their question as zstandard dictionary; questions of
-    under 8 bytes of words, for which a dictionary says nothing, go straight to the comparison of words.
+    The compressed size decides: a copy costs next to nothing beyond its question as zstandard dictionary, as a multiple
+    of it, and the question next to nothing beyond the copy. What is as cheap and yet no copy has a word of its own (a
+    sum's result), or lacks one: the words are compared last. Questions of under 8 bytes of words, for which a
+    dictionary says nothing, are compared by words alone.
     """
     if not question:
         return False
     q, a = _tokens(question), _tokens(answer)
-    if not q or len(a) < len(q):
-        return False
-    cost, size = copy_bytes(question, answer)
-    if size and cost > COPY_BYTES + COPY_SHARE * size and len(" ".join(q)) >= 8:
-        return False
     while a and a[0] in _LABEL and a[: len(q)] != q:
         a = a[1:]
     own = [w for w in a if w not in _LABEL or w in q]
-    return bool(own) and len(own) % len(q) == 0 and own == q * (len(own) // len(q))
+    if not q or len(own) < len(q):
+        return False
+    plain, copied = " ".join(q), " ".join(own)
+    if len(plain) >= 8 and any(copy_bytes(x, y) > COPY_BYTES + COPY_SHARE * len(y.encode()) for x, y in ((plain, copied), (copied, plain))):
+        return False
+    times, rest = divmod(len(own), len(q))
+    return not rest and all(x == y or _mistyped(x, y) for x, y in zip(own, q * times))
 
 
 def is_refusal(answer: str) -> bool:
@@ -127,54 +169,23 @@ def is_refusal(answer: str) -> bool:
     return any(p.search(own) for p in _REFUSALS)
 
 
-@lru_cache(1)
-def _weights() -> dict[str, list[str]]:
-    """The languages that have a dictionary word."""
-    by: dict[str, list[str]] = {}
-    for language in LANGUAGES:
-        for w in dict.fromkeys(COMMON[language]):
-            by.setdefault(w, []).append(language)
-    return by
-
-
-def language_words(text: str) -> dict[str, Counter]:
-    """The dictionary words and tell-tale letters of each language in text, with their numbers."""
-    low = text.lower()
-    words = Counter(re.findall(r"[^\W\d_]+", low))
-    if sum(n for w, n in words.items() if len(w) == 1) > 0.6 * sum(words.values()):  # spelled out
-        words = Counter({w: n for w, n in words.items() if len(w) > 1})
-    out: dict[str, Counter] = {language: Counter() for language in LANGUAGES}
-    for w, n in words.items():
-        for language in _weights().get(w, ()):
-            out[language][w] = n
-    for language, p in _HINTS.items():
-        if hits := p.findall(low):
-            out[language]["~"] = min(2, len(hits))
-    return out
-
+_SMALL = {w for language in COMMON.values() for w in language}
 
-def _best(found: dict[str, Counter], default: str) -> str:
-    return max(found, key=lambda k: (sum(n / len(_weights().get(w, "1")) for w, n in found[k].items()), k == default))
 
+def is_other_language(question: str | None, answer: str, default: str = "fr", model: languages.Languages | None = None) -> bool:
+    """The answer is clearly in a language that its question can't be in, and that it doesn't ask for.
 
-def is_other_language(question: str | None, answer: str, default: str = "fr") -> bool:
-    """The answer is clearly in one language, the question in another, and it asks for no language or another one.
-
-    Two languages are told apart by the dictionary words that only one of them has: at least two for the answer's
-    language, and three times as many as for the question's. A question without any dictionary word counts as
-    ``default``, the language most pairs are in.
+    A question may be in several languages as far as its words tell; then none of them is another one. One without any
+    evidence counts as ``default``, the language most pairs are in. What stands in quotation marks is left out.
     """
+    model = model or languages.Languages()
     question = question or ""
     own = _QUOTED.sub(" ", answer)
     if 2 * len(_tokens(own)) < len(_tokens(answer)):
         own = answer
     bare = _QUOTED.sub(" ", question)
-    a = language_words(own)
-    best, of = _best(a, default), _best(language_words(bare), default)
-    if best == of or best in [k for k, p in _ASKED.items() if p.search(bare)]:
-        return False
-    only = lambda x, y: sum(n for w, n in a[x].items() if w == "~" or w not in a[y])
-    return only(best, of) >= max(2, 3 * only(of, best))
+    other = model.clearly_other(own, model.possible(bare, default))
+    return other is not None and other not in [k for k, p in _ASKED.items() if p.search(bare)]
 
 
 def tail(answer: str) -> str | None:
@@ -212,7 +223,7 @@ def context(words: list[str], i: int) -> list[int]:
     shape = [_shape(w) for w in words[max(0, i - 24) : i + 1]]
     w, p = shape[-1], shape[-2] if len(shape) > 1 else "^"
     opening = " ".join(x.lower() if not x[:1].isdigit() else "0" for x in words[: min(2, i + 1)])
-    small = [(i - j, x) for j, x in enumerate(words[: i + 1]) if (x.lower().strip("«»“”(),") in _weights() and len(x) < 7) or x.endswith(",")][-4:]
+    small = [(i - j, x) for j, x in enumerate(words[: i + 1]) if (x.lower().strip("«»“”(),") in _SMALL and len(x) < 7) or x.endswith(",")][-4:]
     out = ["b", f"w {w}", f"s {w[-3:]}", f"p {p} {w}", f"q {p[-3:]} {w[-3:]}", f"r {p[-2:]} {w[-2:]}", f"n {min(i, 24)}", f"o {opening} {min(i, 24)}", f"z {opening} {w[-3:]}"]
     out += [f"t {x.lower()} {min(d, 8)}" for d, x in small]
     out += [f"u {' '.join(x.lower() for _, x in small[-k:])} {min(small[-1][0], 6)}" for k in (2, 3, 4) if len(small) >= k]
@@ -284,7 +295,7 @@ def fit_terminal(answers: list[str], epochs: int = 4, seed: int = 7) -> Terminal
     return Terminal(weights.astype(np.float32), {s: (endings[s, True], endings[s, False]) for s, _ in endings})
 
 
-def _first_look(ident: str, question: str, answer: str, default: str):
+def _first_look(ident: str, question: str, answer: str, default: str, model: languages.Languages | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -296,7 +307,7 @@ def _first_look(ident: str, question: str, answer: str, default: str):
                     defect = "copy"
                 elif is_refusal(a):
                     defect = "refusal"
-                elif is_other_language(q, a, default):
+                elif is_other_language(q, a, default, model):
                     defect = "other_language"
                 else:
                     defect = None
@@ -325,11 +336,11 @@ def defects(
     """
     rows = df.select(ident, question, answer)
     texts = rows.where(F.col(answer).isNotNull()).select(F.col(answer).alias("a"))
-    sample = texts.orderBy(F.xxhash64("a"), "a").limit(sample_rows).collect()
-    model = fit_terminal([r["a"] for r in sample])
+    sample = [r["a"] for r in texts.orderBy(F.xxhash64("a"), "a").limit(sample_rows).collect()]
+    model, spoken = fit_terminal(sample), languages.fit(sample)
     key = T.StructField(ident, df.schema[ident].dataType)
     string = lambda c: T.StructField(c, T.StringType())
-    seen = rows.mapInPandas(_first_look(ident, question, answer, default_language), T.StructType([key, string("defect"), string("__tail"), string("__word")]))
+    seen = cut(rows.mapInPandas(_first_look(ident, question, answer, default_language, spoken), T.StructType([key, string("defect"), string("__tail"), string("__word")])))
     # words that stand before another word somewhere, counted over all texts
     words = F.expr(f"regexp_extract_all(lower(concat_ws(' \\n ', `{question}`, `{answer}`)), '([\\\\p{{L}}\\\\p{{N}}]+)(?=[^\\\\p{{L}}\\\\p{{N}}\\n]+[\\\\p{{L}}\\\\p{{N}}])', 1)")
     known = rows.select(F.explode(F.array_distinct(words)).alias("__known")).groupBy("__known").agg(F.count(F.lit(1)).alias("__n"))

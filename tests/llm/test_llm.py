@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import books, budget, encoding, lines, mixing, overlap, pairs, quality, tokens
+from lexiloom.llm import books, budget, encoding, languages, lines, mixing, overlap, pairs, quality, tokens
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -84,6 +84,32 @@ def test_rules_of_pairs(question, answer, defect):
     assert rows_["defect"][0] == defect
 
 
+@pytest.mark.parametrize(
+    ("question", "answer", "defect"),
+    [
+        ("Décris un moulin ancien.", "Décris un mouiln ancien !", "copy"), ("Question utile : décris un moulin ancien.", "Réponse : question utile : décris un moulin ancien", "copy"), ("Combien font 12 + 34 ?", "Question : combien font 12 + 34 ?", "copy"),
+        ("Combien font 12 + 34 ?", "Combien font 12 + 35 ?", None), ("Décris un moulin ancien.", "Décris un moulin récent.", None), ("Qui aime le vieux moulin ?", "Qui aime le vieux moulin ? Paul.", None),
+        ("Describe a fragile ledger.", "The fragile ledger was with the old miller.", None), ("Describe un cuaderno último.", "El cuaderno está en la casa de los abuelos.", None), ("Describe a mill.", "Le moulin est sur la colline avec le meunier.", None),
+        ("Décris le moulin de la colline.", "Мельница стоит на холме.", "other_language"), ("Traduis en russe : le moulin est là.", "Мельница там.", None), ("水車小屋はどこですか。", "丘の上にあります。", None), ("97 + 113 =", "Das ist nicht die richtige Antwort.", "other_language"),
+        ("Descreva o moinho.", "Desculpe, não posso responder a essa pergunta.", "refusal"), ("Descrivi il mulino.", "Mi dispiace, non posso rispondere a questa domanda.", "refusal"),
+    ],
+)
+def test_near_copies_and_languages_without_a_sample(question, answer, defect):
+    assert ("copy" if pairs.is_copy(question, answer) else "refusal" if pairs.is_refusal(answer) else "other_language" if pairs.is_other_language(question, answer) else None) == defect
+
+
+def test_languages_learn_content_words(rows):
+    r = random.Random(4)
+    nouns = {"fr": ["moulin", "jardin", "chemin", "sentier"], "en": ["mill", "garden", "ledger", "barn"]}
+    made = {"fr": "Le {} est près du {} et il ne dort pas.", "en": "The {} is with the {} and it does not sleep."}
+    texts_ = [made[k].format(*r.sample(nouns[k], 2)) for k in ("fr", "en") for _ in range(200)]
+    model = languages.fit(texts_)
+    assert model.possible("Describe ledger barn", "fr") == {"en"} and model.possible("12 + 13", "fr") == {"fr"} and languages.fit([]).weights is None
+    data = [(i, "Describe a garden." if i % 2 else "Décris un jardin.", texts_[200 + i] if i % 2 else texts_[i]) for i in range(100)] + [(500, "Describe a ledger.", texts_[0]), (501, "Décris un sentier.", texts_[300]), (502, None, texts_[300]), (503, None, None)]
+    got = {x["example_id"]: x["defect"] for x in pairs.defects(rows(data, "example_id long, question string, answer string")).collect() if x["defect"]}
+    assert got == {500: "other_language", 501: "other_language", 502: "other_language", 503: "empty"}
+
+
 def test_truncated_by_context(rows):
     r = random.Random(2)
     nouns, adjectives, verbs = ["le moulin", "la ferme", "le four", "la rivière", "le jardin"], ["voisin", "rouge", "paisible", "calme"], ["regarde", "entoure", "traverse", "longe"]
