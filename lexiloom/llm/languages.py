@@ -147,7 +147,7 @@ def fit(texts: list[str], epochs: int = 3, seed: int = 7) -> Languages:
     wanted, prior = np.eye(len(LANGUAGES))[labels], EVIDENCE * np.array(priors)
     weights, squares = np.zeros((WEIGHTS + 1, len(LANGUAGES))), np.full((WEIGHTS + 1, len(LANGUAGES)), 1e-6)
     for _ in range(epochs):
-        for part in np.array_split(pick.permutation(len(rows)), max(1, len(rows) // 512)):
+        for part in np.array_split(pick.permutation(len(rows)), max(16, len(rows) // 512)):
             x = table[part]
             logits = prior[part] + weights[x].sum(axis=1)
             p = np.exp(logits - logits.max(axis=1, keepdims=True))

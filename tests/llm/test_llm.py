@@ -105,7 +105,7 @@ def test_languages_learn_content_words(rows):
     texts_ = [made[k].format(*r.sample(nouns[k], 2)) for k in ("fr", "en") for _ in range(200)]
     model = languages.fit(texts_)
     assert model.possible("Describe ledger barn", "fr") == {"en"} and model.possible("12 + 13", "fr") == {"fr"} and languages.fit([]).weights is None
-    data = [(i, "Describe a garden." if i % 2 else "Décris un jardin.", texts_[200 + i] if i % 2 else texts_[i]) for i in range(100)] + [(500, "Describe a ledger.", texts_[0]), (501, "Décris un sentier.", texts_[300]), (502, None, texts_[300]), (503, None, None)]
+    data = [(i, "Describe a garden." if i % 2 else "Décris un jardin.", texts_[200 + i] if i % 2 else texts_[i]) for i in range(100)] + [(500, "Describe a ledger, a barn, a garden.", texts_[0]), (501, "Décris un sentier.", texts_[300]), (502, None, texts_[300]), (503, None, None)]
     got = {x["example_id"]: x["defect"] for x in pairs.defects(rows(data, "example_id long, question string, answer string")).collect() if x["defect"]}
     assert got == {500: "other_language", 501: "other_language", 502: "other_language", 503: "empty"}
 
