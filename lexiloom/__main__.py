@@ -29,11 +29,11 @@ def _rows(df: DataFrame) -> list[dict]:
 def _import(spark: SparkSession, a: argparse.Namespace) -> int:
     """Filter, split and deduplicate web documents (Parquet with record_id, or a paged source) or books into split files."""
     if a.kind == "books":
-        rows = quality.book_reasons(spark.read.parquet(a.source), a.min_ocr)
-        rows = rows.withColumn("key", F.col("file_id")).withColumn("pos", F.xxhash64("file_id")).withColumn("page", F.col("file_id")).withColumn("text", F.col("complete_text"))
+        rows = quality.book_reasons(files.in_order(spark, a.source), a.min_ocr)
+        rows = rows.withColumn("key", F.col("file_id")).withColumn("page", F.col("file_id")).withColumn("text", F.col("complete_text"))
     elif a.pages:
         spark.dataSource.register(paged.PagedSource)
-        read = spark.read.format("paged").options(url=a.source, rows=str(a.pages)).load()
+        read = spark.read.format("paged").options(url=a.source, rows=str(a.pages * paged.PAGE)).load()
         rows = quality.web_reasons(read).withColumn("pos", F.col("row_idx"))
         rows = rows.withColumn("reason", F.when(F.col("truncated_cells") > 0, "truncated_row").otherwise(F.col("reason"))).withColumn("key", F.col("host")).withColumn("page", urls.without_fragment(F.col("url")))
     else:

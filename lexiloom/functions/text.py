@@ -12,10 +12,12 @@ MARKERS = (USER, ASSISTANT, END)
 MARKUP = ("<script", "<html")
 
 SIGNIFICANT_CHARS, SIGNIFICANT_WORDS = 64, 8
+#: The characters of Unicode's White_Space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def unix_lines(text: Column) -> Column:
@@ -31,7 +33,7 @@ def lines(text: Column) -> Column:
     """Lines without their ends: split at ``\\n``, one final ``\\r`` dropped, no empty line after a final ``\\n``."""
     parts = F.split(text, "\n", -1)
     full = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(full, lambda x: F.regexp_replace(x, r"\r\z", ""))
+    return F.transform(full, lambda x: F.when(F.endswith(x, F.lit("\r")), F.left(x, F.length(x) - 1)).otherwise(x))
 
 
 def blocks(text: Column) -> Column:
@@ -60,7 +62,7 @@ def trigrams(text: Column) -> Column:
 
 def is_significant(fragment: Column) -> Column:
     """Of a trimmed fragment: long enough to be told from a phrase that anybody may write."""
-    return (F.length(fragment) >= SIGNIFICANT_CHARS) & (F.size(words(fragment)) >= SIGNIFICANT_WORDS)
+    return (F.length(fragment) >= SIGNIFICANT_CHARS) & F.rlike(fragment, F.lit(rf"(?U)\A(?:\S+\s+){{{SIGNIFICANT_WORDS - 1}}}\S"))
 
 
 def fragments(text: Column, records: bool = False) -> Column:

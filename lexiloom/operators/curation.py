@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import hashing
@@ -10,18 +10,6 @@ from lexiloom.functions import text as tx
 from lexiloom.operators import dedup
 from lexiloom.runtime import cut
 
-_PIECE = "struct<b:int,l:int,text:string,sha:string,significant:boolean>"
-
-
-def _pieces(text: Column) -> tuple[Column, Column]:
-    """Arrays of blocks and of their lines: place, text, hash of the trimmed text, whether it is significant."""
-    part = lambda b, l, x: F.struct(b.cast("int").alias("b"), l.cast("int").alias("l"), x.alias("text"), hashing.trimmed_sha(x).alias("sha"), tx.is_significant(tx.trimmed(x)).alias("significant"))
-    of = tx.blocks(text)
-    blocks = F.transform(of, lambda x, i: part(i, F.lit(0), x))
-    lines = F.flatten(F.transform(of, lambda x, i: F.transform(tx.lines(x), lambda y, j: part(i, j, y))))
-    return blocks, lines
-
-
 def reserved_hashes(df: DataFrame, text: str = "text") -> DataFrame:
     """(sha) of all significant lines and blocks, once each."""
     hashes = F.array_distinct(F.transform(tx.fragments(F.col(text)), hashing.sha))
@@ -36,11 +24,11 @@ def cleaned(df: DataFrame, reserved: DataFrame, ident: str, text: str = "text")
     than the text's own pieces. Null texts stay null.
     """
     rows = df.select(ident, tx.unix_lines(F.col(text)).alias("t"))
-    blocks, lines = _pieces(F.col("t"))
-    wanted = F.array_distinct(F.transform(F.filter(F.concat(blocks, lines), lambda p: p["significant"]), lambda p: p["sha"]))
+    wanted = F.array_distinct(F.transform(tx.fragments(F.col("t")), hashing.sha))
     hits = rows.select(ident, F.explode(wanted).alias("sha")).join(reserved.select("sha").distinct(), "sha").groupBy(ident).agg(F.collect_set("sha").alias("hit"))
     joined = rows.join(hits, ident, "left").withColumn("hit", F.coalesce("hit", F.array().cast("array<string>")))
-    gone = lambda x: tx.is_significant(tx.trimmed(x)) & F.array_contains(F.col("hit"), hashing.trimmed_sha(x))
+    # most texts have no hit: then nothing is hashed again
+    gone = lambda x: (F.size("hit") > 0) & (F.length(x) >= tx.SIGNIFICANT_CHARS) & tx.is_significant(tx.trimmed(x)) & F.array_contains(F.col("hit"), hashing.trimmed_sha(x))
     split = tx.blocks(F.col("t"))
     kept_blocks = F.filter(split, lambda b: ~gone(b))
     kept = F.filter(F.transform(kept_blocks, lambda b: F.array_join(F.filter(tx.lines(b), lambda y: ~gone(y)), "\n")), lambda b: tx.trimmed(b) != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,10 +11,11 @@ from pyspark.sql.types import LongType
 
 from lexiloom.functions import hashing
 from lexiloom.functions import text as tx
-from lexiloom.runtime import cut
+from lexiloom.runtime import cut, ranges
 
-#: Bits in which the sketches of near duplicates may differ, and the bands they are sought by.
-DISTANCE, BANDS = 3, 4
+#: Bits in which the sketches of near duplicates may differ, and the blocks of bits they are sought by: any three of
+#: these make a key, of 31 to 33 bits.
+DISTANCE, BLOCKS = 3, 6
 #: Keys in conflict, and pairs of near sketches, that one task may hold.
 ONE_TASK = 500_000
 REASONS = ("exact_duplicate", "near_duplicate_simhash", "cross_partition_fragment")
@@ -51,18 +54,22 @@ def sketches(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
 def near_sketches(values: DataFrame, sketch_column: str = "sketch", most: int = DISTANCE) -> DataFrame:
     """(a, b, distance) with a < b: distinct sketches that differ in at most three bits.
 
-    Two 64-bit numbers that differ in up to three bits are equal in one of four bands of 16, so an equi-join on bands
-    loses none. A pair that meets in several bands is kept in the first. Only distinct sketches meet, so a text that
-    is a third of all rows is one of them; a band's value that too many share is spread by AQE's skew join.
+    Two 64-bit numbers that differ in up to three bits are equal in three of six blocks of bits at least, so an
+    equi-join on the twenty choices of three blocks loses none, and a key of some 32 bits is shared by few sketches
+    that aren't near. A pair that meets under several keys is kept under the first. Only distinct sketches meet, so a
+    text that is a third of all rows is one of them.
     """
-    if most >= BANDS:
-        raise ValueError(f"{BANDS} bands find at most {BANDS - 1} differing bits")
+    if most > DISTANCE:
+        raise ValueError(f"the keys find at most {DISTANCE} differing bits")
+    bounds = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in zip(bounds, bounds[1:])) - sum((1 << bounds[k + 1]) - (1 << bounds[k]) for k in left) for left in combinations(range(BLOCKS), DISTANCE)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     distinct = values.select(F.col(sketch_column).alias("s")).where(F.col("s").isNotNull()).distinct()
-    band = lambda c, k: F.shiftrightunsigned(c, 16 * k).bitwiseAND(0xFFFF)
-    keyed = distinct.select("s", F.posexplode(F.array(*[band(F.col("s"), k) for k in range(BANDS)])).alias("k", "v"))
+    keyed = distinct.select("s", F.posexplode(F.array(*[F.col("s").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "v"))
     a, b = keyed.select(F.col("s").alias("a"), "k", "v"), keyed.select(F.col("s").alias("b"), "k", "v")
     joined = a.join(b, ["k", "v"]).where(F.col("a") < F.col("b")).where(hashing.distance(F.col("a"), F.col("b")) <= most)
-    same = F.array(*[band(F.col("a"), k) == band(F.col("b"), k) for k in range(BANDS)])
+    differs = F.col("a").bitwiseXOR(F.col("b"))
+    same = F.array(*[differs.bitwiseAND(F.lit(m)) == 0 for m in masks])
     return joined.where(F.col("k") + 1 == F.array_position(same, True)).select("a", "b", hashing.distance(F.col("a"), F.col("b")).alias("distance"))
 
 
@@ -92,7 +99,8 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
     (exact_duplicate), a sketch within three bits (near_duplicate_simhash), or a significant fragment in another split
     (cross_partition_fragment). That choice is the lexicographically first independent set of the conflicts, found in
     rounds: a row falls once an accepted earlier row conflicts with it, and stands once every earlier row that
-    conflicts has fallen.
+    conflicts has fallen. Each round decides the first undecided row at least, so they end; what long chains leave
+    after ``most_rounds``, one task decides in order as soon as it is at most ``one_task`` keys.
 
     No pairs of rows are made. Each conflict is a key (URL, text, sketch, or fragment) under which only the least
     accepted and the least undecided position matter, per split for fragments; near sketches are pairs of distinct
@@ -118,19 +126,21 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
     shared = busy.where(((F.col("rank") < 3) & (F.col("n") > 1)) | ((F.col("rank") == 3) & (F.col("splits") > 1))).select("rank", "key")
     shared = shared.unionByName(near.select(F.lit(2).alias("rank"), "key")).distinct()
     links = cut(flat.join(shared, ["rank", "key"]))
-    if links.limit(one_task + 1).count() <= one_task and near.limit(one_task + 1).count() <= one_task:
-        decided = links.coalesce(1).mapInPandas(_in_order(near.collect()), "pos long, reason int")
-        return _named(base, decided)
+    if _few(links, one_task) and _few(near, one_task):
+        return _named(base, _one_task(links, near, None))
     state = cut(links.select("pos").distinct().withColumn("reason", F.lit(-1)))  # -1 undecided, 0 accepted, else a rank
-    for _ in range(most_rounds):
+    for done in count(1):
         told = _conflicts(links, near, state, state.where("reason = -1"))
         verdict = F.when(F.col("falls").isNotNull(), F.col("falls")).when(F.coalesce("waits", F.lit(False)), -1).otherwise(0)
         new = state.where("reason = -1").select("pos").join(told, "pos", "left").select("pos", verdict.cast("int").alias("reason"))
         state = cut(state.where("reason <> -1").unionByName(new))
         if state.where("reason = -1").limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError(f"not decided after {most_rounds} rounds")
+        if done >= most_rounds:
+            left = links.join(state.where("reason <= 0"), "pos")  # accepted rows count, fallen ones don't
+            if _few(left, one_task) and _few(near, one_task):
+                state = cut(state.where("reason > 0").unionByName(_one_task(left.drop("reason"), near, state.where("reason = 0"))))
+                break
     # a row may have fallen before an earlier one stood that excludes it for a stronger reason
     fallen = state.where("reason > 0")
     final = _conflicts(links, near, state, fallen).select("pos", F.col("falls").alias("reason"))
@@ -163,36 +173,49 @@ def _named(base: DataFrame, decided: DataFrame) -> DataFrame:
     return base.select("pos").join(decided.select("pos", name.alias("reason")), "pos", "left")
 
 
-def _in_order(near: list):
-    """The choice row by row, for few conflicts: what each key has accepted, by split for fragments."""
-
-    def run(batches):
-        links = pd.concat([*batches, pd.DataFrame({"pos": [], "rank": [], "key": [], "s": []})])
-        close: dict[str, list[str]] = {}
-        for key, other in near:
-            close.setdefault(key, []).append(other)
-        taken: set = set()
-        splits: dict[str, set] = {}
-        out = []
-        for pos, rows in links.groupby("pos", sort=True):
-            keys = list(zip(rows["rank"], rows["key"]))
-            own = rows["s"].iloc[0]
-            if any(k[0] == 1 and k in taken for k in keys):
-                reason = 1
-            elif any((2, x) in taken for r, k in keys if r == 2 for x in (k, *close.get(k, ()))):
-                reason = 2
-            elif own and any(splits.get(k, set()) - {own, ""} for r, k in keys if r == 3):
-                reason = 3
-            else:
-                reason = 0
-                taken.update(k for k in keys if k[0] < 3)
-                for r, k in keys:
-                    if r == 3:
-                        splits.setdefault(k, set()).add(own)
-            out.append((int(pos), reason))
-        yield pd.DataFrame(out, columns=["pos", "reason"])
-
-    return run
+def _few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def _one_task(links: DataFrame, near: DataFrame, accepted: DataFrame | None) -> DataFrame:
+    """(pos, reason) of the rows of few links, in order; rows known to be accepted come out as such."""
+    rows = links.select("pos", "rank", "key", "s")
+    rows = rows.withColumn("fixed", F.lit(False)) if accepted is None else rows.join(accepted.select("pos", F.lit(True).alias("fixed")), "pos", "left")
+    pairs = near.select(F.lit(None).cast("long").alias("pos"), F.lit(0).alias("rank"), "key", F.col("other").alias("s"), F.lit(False).alias("fixed"))
+    return rows.unionByName(pairs).coalesce(1).mapInPandas(_in_order, "pos long, reason int")
+
+
+def _in_order(batches):
+    """The choice row by row, for few conflicts: what each key has accepted, by split for fragments. Rows of rank 0 are
+    pairs of near sketches."""
+    links = pd.concat([*batches, pd.DataFrame({"pos": [], "rank": [], "key": [], "s": [], "fixed": []})])
+    pairs, links = links[links["rank"] == 0], links[links["rank"] > 0]
+    close: dict[str, list[str]] = {}
+    for key, other in zip(pairs["key"], pairs["s"]):
+        close.setdefault(key, []).append(other)
+    taken: set = set()
+    splits: dict[str, set] = {}
+    out = []
+    for pos, rows in links.groupby("pos", sort=True):
+        keys = list(zip(rows["rank"], rows["key"]))
+        own = rows["s"].iloc[0]
+        if rows["fixed"].iloc[0] in (True, 1):
+            reason = 0
+        elif any(k[0] == 1 and k in taken for k in keys):
+            reason = 1
+        elif any((2, x) in taken for r, k in keys if r == 2 for x in (k, *close.get(k, ()))):
+            reason = 2
+        elif own and any(splits.get(k, set()) - {own, ""} for r, k in keys if r == 3):
+            reason = 3
+        else:
+            reason = 0
+        if not reason:
+            taken.update(k for k in keys if k[0] < 3)
+            for r, k in keys:
+                if r == 3:
+                    splits.setdefault(k, set()).add(own)
+        out.append((int(pos), reason))
+    yield pd.DataFrame(out, columns=["pos", "reason"])
 
 
 def within_budget(df: DataFrame, pos: str, size: str, accepted: str, budget: int, buckets: int = 256) -> DataFrame:
@@ -205,7 +228,7 @@ def within_budget(df: DataFrame, pos: str, size: str, accepted: str, budget: int
     low, high = rows.agg(F.min("p"), F.max("p")).first()
     if low is None:
         return df
-    ranged = rows.withColumn("b", F.floor((F.col("p") - low) * buckets / (high - low + 1)).cast("int"))
+    ranged = rows.withColumn("b", ranges(F.col("p"), low, high, buckets))
     before = F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = ranged.groupBy("b").agg(F.sum("used").alias("s")).select("b", before.alias("before"))  # one row a bucket
     within = F.coalesce(F.sum("used").over(Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -10,6 +10,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.sources.files import inside
+
 
 def contained(root: str, relative: str) -> str:
     """The joined path; fails if it leaves the root."""
@@ -20,14 +22,14 @@ def contained(root: str, relative: str) -> str:
 
 
 def file_hashes(spark, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of the files under a folder."""
+    """(path, file, bytes, sha256) of the files under a folder, ``file`` being the path inside it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", inside("path", path).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def unpinned(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(file, problem): expected files (file, bytes, sha256) that are missing or differ; ``files`` is of :func:`file_hashes`."""
-    joined = expected.alias("e").join(files.alias("f"), F.col("f.path").endswith(F.concat(F.lit("/"), F.col("e.file"))), "left")
+    joined = expected.alias("e").join(files.alias("f"), F.col("f.file") == F.col("e.file"), "left")
     problem = F.when(F.col("f.path").isNull(), "missing").when(F.col("f.bytes") != F.col("e.bytes"), "bytes").when(F.col("f.sha256") != F.col("e.sha256"), "sha256")
     return joined.select(F.col("e.file").alias("file"), problem.alias("problem")).where("problem is not null")
 

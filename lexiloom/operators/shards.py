@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lexiloom.functions import hashing
 from lexiloom.functions import text as tx
+from lexiloom.runtime import ranges
 
 #: Ids of the markers in the byte vocabulary; the 256 bytes follow them.
 USER_ID, ASSISTANT_ID, END_ID, FIRST_BYTE = 0, 1, 2, 3
@@ -61,7 +62,7 @@ def positions(df: DataFrame, split: str, pos: str, size: Column, buckets: int =
     """
     low, high = df.agg(F.min(pos), F.max(pos)).first()
     low, high = (0, 0) if low is None else (low, high)
-    wide = df.withColumn("__n", size.cast("long")).withColumn("__b", F.floor((F.col(pos) - low) * buckets / (high - low + 1)).cast("int"))
+    wide = df.withColumn("__n", size.cast("long")).withColumn("__b", ranges(F.col(pos), low, high, buckets))
     sums = wide.groupBy(split, "__b").agg(F.sum("__n").alias("__s"))
     before = F.sum("__s").over(Window.partitionBy(split).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col(split).alias("__split"), F.col("__b").alias("__c"), F.coalesce(before, F.lit(0)).alias("__before"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import hashing, training
 from lexiloom.functions import text as tx
 from lexiloom.functions import urls
 from lexiloom.operators import audit, curation, dedup, dialogue, integrity, library, mix, quality, sampling, shards, splits
-from lexiloom.runtime import read
+from lexiloom.runtime import cut, read
 from lexiloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,7 +240,15 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", tx.excerpt(t).alias("excerpt"), hashing.sha(tx.displayed(t)).alias("displayed"))
 
 
-@query()
+# Where a piece ends: 4096 bytes on, or before the character that would be split there (at most three bytes back).
+_END_AT = f"""case when p + 4096 >= n then n else p + 4096 - list_position(list_transform(range(4), lambda i: ('0x' || substr(h, (2 * (p + 4096 - i) + 1)::int, 2))::int & 192 <> 128), true) + 1 end"""
+_CHUNKS = f"""
+src as (select doc_id, {{}} hex(encode(text)) as h, strlen(text) as n from {{}} where text is not null and text <> ''),
+chunk as (select *, 0::bigint as p from src union all select * replace ({_END_AT} as p) from chunk where ({_END_AT}) < n),
+piece as (select * exclude (h, n, p), p as "offset", ({_END_AT}) - p as bytes from chunk)"""
+
+
+@query(f"""with recursive {_CHUNKS.format('', 'documents')} select doc_id, "offset", bytes from piece""")
 def utf8_chunks(spark: SparkSession, d: str) -> DataFrame:
     return mix.fragments(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "offset", "bytes")
 
@@ -273,6 +281,25 @@ def near_sketches(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_sketches(dedup.sketches(read(spark, d, "web_documents").where(F.col("text").isNotNull()), "record_id"))
 
 
+def _flip(steps: int, count: int) -> str:
+    return " | ".join(f"(1::bigint << ((record_id * 7 + {steps * 9 * j}) % 63)::int)" for j in range(count))
+
+
+@query(f"""with {_SKETCH}, planted as (select sketch from sketch union {' union '.join(f"select xor(sketch, {_flip(1, n)}) from sketch" for n in (1, 2, 3, 4))})
+select a.sketch as a, b.sketch as b, bit_count(xor(a.sketch, b.sketch))::int as distance from planted a, planted b where a.sketch < b.sketch and bit_count(xor(a.sketch, b.sketch)) <= 3""")
+def near_sketches_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Near sketches among the tables' own and copies of all of them with one to four bits turned."""
+    own = cut(dedup.sketches(read(spark, d, "web_documents").where(F.col("text").isNotNull()), "record_id"))
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("record_id") * 7 + 9 * j) % 63).cast("int"))
+    planted = own.select("sketch")
+    for n in (1, 2, 3, 4):
+        mask = bit(0)
+        for j in range(1, n):
+            mask = mask.bitwiseOR(bit(j))
+        planted = planted.unionByName(own.select(F.col("sketch").bitwiseXOR(mask).alias("sketch")))
+    return dedup.near_sketches(planted)
+
+
 @query("""
 select doc_id, min(doc_id) over w as class_id, count(*) over w as copies from documents where text is not null window w as (partition by text)""")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +320,43 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("page", urls.without_fragment(F.col("url")))
 
 
-@query()
+# Row by row: what the accepted rows have (pages, texts, sketches, pairs of fragment and split), and the reason of each row.
+_ACCEPT = f"""
+cand as materialized (select w.record_id, {_split('host')} as split, regexp_replace(url, '#.*$', '') as page, t, {_text_reason('t')} as bad, host from
+  (select *, {_HOST} as host, {_trim(_unix('text'))} as t from web_documents) w),
+rule as materialized (select record_id, split, page, t, coalesce(case when t is null then 'length' else bad end, case when host is null then 'invalid_url' end) as reason from cand),
+{_SKETCH.replace("web_documents", "(select record_id, t as text from rule where reason is null)")},
+good as materialized (select row_number() over (order by record_id) as k, record_id, split, 'u' || page as u, 't' || sha256(t) as x, sketch, list_distinct(list_transform({_fragments('t')}, lambda f: hash(f))) as f
+  from rule join sketch using (record_id) where reason is null),
+near as materialized (select a.k, list(b.k) as earlier from good a join good b on b.k < a.k and bit_count(xor(a.sketch, b.sketch)) <= 3 group by a.k),
+hot as (select g from (select split, unnest(f) as g from good) group by g having count(distinct split) > 1),
+slim as (select k, list(g) as f from (select k, unnest(f) as g from good) join hot using (g) group by k),
+one as materialized (select good.* exclude (f), coalesce(earlier, []) as earlier, coalesce(slim.f, []) as f, slim.f is not null as any_f from good left join near using (k) left join slim using (k)),
+step as (
+  select 0::bigint as k, []::varchar[] as keys, []::bigint[] as kept, []::ubigint[] as ftrain, []::ubigint[] as fvalidation, []::ubigint[] as ftest, null::varchar as reason, null::bigint as record_id
+  union all
+  select k, case when r is null then keys || [u, x] else keys end, case when r is null then list_append(kept, k) else kept end,
+    case when r is null and split = 'train' then list_concat(ftrain, f) else ftrain end, case when r is null and split = 'validation' then list_concat(fvalidation, f) else fvalidation end,
+    case when r is null and split = 'test' then list_concat(ftest, f) else ftest end, r, record_id
+  from (select o.*, s.* exclude (k, reason, record_id), case when list_contains(keys, u) or list_contains(keys, x) then 'exact_duplicate' when list_has_any(kept, earlier) then 'near_duplicate_simhash'
+      when (o.split <> 'train' and list_has_any(ftrain, o.f)) or (o.split <> 'validation' and list_has_any(fvalidation, o.f)) or (o.split <> 'test' and list_has_any(ftest, o.f)) then 'cross_partition_fragment' end as r
+    from step s join one o on o.k = s.k + 1)),
+told as (select rule.record_id, rule.split, coalesce(rule.reason, step.reason) as reason, t from rule left join step on step.record_id = rule.record_id)"""
+
+
+def _accept_rounds(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidates(spark, d)
+    told = dedup.accept(rows.where(F.col("reason").isNull()), "record_id", url="page", one_task=0)
+    return rows.join(told.select(F.col("pos").alias("record_id"), F.col("reason").alias("dropped")), "record_id", "left").select("record_id", "split", F.coalesce("reason", "dropped").alias("reason"))
+
+
+@query(f"with recursive {_ACCEPT} select record_id, split, reason from told")
+def dedup_accept_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same as dedup_accept by rounds of aggregations, as beyond what one task may hold."""
+    return _accept_rounds(spark, d)
+
+
+@query(f"with recursive {_ACCEPT} select record_id, split, reason from told")
 def dedup_accept(spark: SparkSession, d: str) -> DataFrame:
     """Reason of each row of the import: of quality, else of the greedy choice."""
     rows = _candidates(spark, d)
@@ -302,7 +365,11 @@ def dedup_accept(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("record_id", "split", F.coalesce("reason", "dropped").alias("reason"))
 
 
-@query()
+@query(f"""with recursive {_ACCEPT},
+sized as (select record_id, reason is null as accepted, coalesce(strlen(t), 0) + 8 as size from told where reason is null or reason in {dedup.REASONS}),
+run as (select *, coalesce(sum(case when accepted then size else 0 end) over (order by record_id rows between unbounded preceding and 1 preceding), 0) + size > 2000000 as over from sized),
+first as (select min(record_id) as stop from run where over)
+select accepted, count(*) as rows, sum(size)::bigint as bytes from run, first where stop is null or record_id < stop group by accepted""")
 def budget_cut(spark: SparkSession, d: str) -> DataFrame:
     """The rows that an import of two million bytes takes in or rejects."""
     rows = dedup_accept(spark, d).join(read(spark, d, "web_documents").select("record_id", F.octet_length(tx.normalized(F.col("text"))).alias("n")), "record_id")
@@ -377,7 +444,11 @@ def export_summary(spark: SparkSession, d: str) -> DataFrame:
     return library.export_summary(read(spark, d, "articles"))
 
 
-@query()
+@query(f"""
+with recursive good as (select row_number() over (order by record_id) as k, record_id, sha256(text) as t, sha256(language || ':' || id) as i, revision_id as r from articles where {_ARTICLE_PROBLEM} is null),
+step as (select 0::bigint as k, []::varchar[] as had, false as stands union all
+  select good.k, case when new then had || [t, i || r] else had end, new from (select s.k, s.had, not list_has_any(had, [g.t, g.i || g.r]) as new from step s join good g on g.k = s.k + 1) s join good on good.k = s.k + 1)
+select record_id, i as identity_sha256, t as text_sha256 from good join step using (k) where stands""")
 def library_insert(spark: SparkSession, d: str) -> DataFrame:
     """Articles that the library takes in one by one, in the order of record_id."""
     rows = quality.article_problem(read(spark, d, "articles")).where("problem is null")
@@ -408,7 +479,10 @@ def mix_sizing(spark: SparkSession, d: str) -> DataFrame:
     return mix.sizing(_pool(spark, d), PERCENTAGES, MIX_BYTES, 40)
 
 
-@query()
+@query(f"""with recursive {_SIZED}, {_CHUNKS.format('domain,', 'documents join sources on source = source_id')},
+hashed as (select *, sha256('{SEED}:' || doc_id || ':' || "offset") as h from piece join (select domain, effective * percentage // 100 as target from sized) using (domain)),
+run as (select *, coalesce(sum(bytes) over (partition by domain order by h rows between unbounded preceding and 1 preceding), 0) as before from hashed)
+select doc_id, domain, "offset", least(bytes, target - before)::bigint as taken from run where before < target""")
 def mix_selection(spark: SparkSession, d: str) -> DataFrame:
     pool = _pool(spark, d)
     return mix.select(pool, mix.sizing(pool, PERCENTAGES, MIX_BYTES, 40), SEED, "doc_id").select("doc_id", "domain", "offset", "taken")
@@ -472,6 +546,24 @@ def token_positions(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, d).select("record_id", "partition_name", "n", "start")
 
 
+def _hex(x: str) -> str:
+    return f"hex(encode({x}))"
+
+
+_WHOLE = f"{_trim(_unix("coalesce(text, '')"))}"
+
+
+# Bytes as "3C 7C ", in which the markers are found at bytes' bounds only.
+_PAIRED = f"regexp_replace({_hex('t')}, '(..)', '\\1 ', 'g')"
+for _id, _marker in enumerate(tx.MARKERS):
+    _PAIRED = f"replace({_PAIRED}, '{_marker.encode().hex(' ').upper()} ', '#{_id} ')"
+
+
+_TOKENS = f"""
+i as (select split, start, list_concat(list_transform(list_filter(string_split({_PAIRED}, ' '), lambda x: x <> ''), lambda x: case when x[1] = '#' then x[2]::int else ('0x' || x)::int + 3 end), [2, 13]) as ids from d),
+t as (select split, start + unnest(range(len(ids))) as pos, unnest(ids) as token from i)"""
+
+
 def _shards(spark: SparkSession, d: str) -> DataFrame:
     return shards.shards(_stream(spark, d), "partition_name", SHARD_TOKENS)
 
@@ -489,44 +581,66 @@ def shard_problems(spark: SparkSession, d: str) -> DataFrame:
     return shards.manifest_problems(shards.manifest(_shards(spark, d)), SHARD_TOKENS)
 
 
+# Every third shard misnamed, the last shard of each split with a wrong size in bytes, train's first shard left out, and validation gone.
+_BROKEN = """
+select split, shard, case when shard % 3 = 2 then 'x' else name end as name, tokens, case when shard = top then bytes + 1 else bytes end as bytes
+from (select *, max(shard) over (partition by split) as top from m) where split <> 'validation' and not (split = 'train' and shard = 0)"""
+
+
+@query(f"""
+with total as (select partition_name as split, sum(n)::bigint as n from ({_START}) group by 1),
+s as (select split, n, unnest(range((n + {SHARD_TOKENS - 1}) // {SHARD_TOKENS})) as shard from total),
+m as (select split, shard, printf('%s/shard-%06d.u32', split, shard) as name, least({SHARD_TOKENS}, n - shard * {SHARD_TOKENS}) as tokens, least({SHARD_TOKENS}, n - shard * {SHARD_TOKENS}) * 4 as bytes from s),
+b as ({_BROKEN}), r as (select *, row_number() over (partition by split order by shard) - 1 as row, max(shard) over (partition by split) as top from b)
+select distinct split, problem from (
+  select unnest(['train', 'validation', 'test']) as split, 'missing' as problem except select split, 'missing' from b
+  union all select split, 'numbering' from r where shard <> row union all select split, 'name' from r where name <> printf('%s/shard-%06d.u32', split, shard)
+  union all select split, 'bytes' from r where bytes <> tokens * 4 union all select split, 'size' from r where tokens <= 0 or tokens > {SHARD_TOKENS} or (shard < top and tokens <> {SHARD_TOKENS}))""")
+def shard_problems_planted(spark: SparkSession, d: str) -> DataFrame:
+    """The problems of a manifest that is wrong in several ways."""
+    m = shards.manifest(_shards(spark, d)).withColumn("top", F.max("shard").over(Window.partitionBy("split")))
+    m = m.where("split <> 'validation' and not (split = 'train' and shard = 0)")
+    m = m.withColumn("name", F.when(F.col("shard") % 3 == 2, "x").otherwise(F.col("name"))).withColumn("bytes", F.when(F.col("shard") == F.col("top"), F.col("bytes") + 1).otherwise(F.col("bytes")))
+    return shards.manifest_problems(m.drop("top"), SHARD_TOKENS)
+
+
+@query(f"""
+with s as ({_START}), d as (select s.partition_name as split, s.start, {_WHOLE} as t from s join articles using (record_id)), {_TOKENS}
+select token::int as id, count(*) as occurrences from t where token >= 103 group by token""")
+def unknown_tokens_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Ids beyond the first 103, were the vocabulary no larger."""
+    return shards.unknown_ids(_shards(spark, d), spark.range(103).select(F.col("id").cast("int").alias("id")))
+
+
 @query("select null::int as id, null::bigint as occurrences where false")
 def unknown_tokens(spark: SparkSession, d: str) -> DataFrame:
     return shards.unknown_ids(_shards(spark, d), spark.range(259).select(F.col("id").cast("int").alias("id")))
 
 
-@query()
+@query(f"""
+with recursive s as ({_START}), d as (select s.partition_name as split, s.start, {_WHOLE} as t from s join articles using (record_id)), {_TOKENS},
+p as (select 0 as e, 1::hugeint as f union all select e + 1, f * 31 % 18446744073709551616::hugeint from p where e + 1 < {SHARD_TOKENS}),
+c as (select split, pos // {SHARD_TOKENS} as shard, pos, token, max(pos) over (partition by split, pos // {SHARD_TOKENS}) as top from t),
+m as (select split, shard, (sum(token * f) % 18446744073709551616::hugeint)::hugeint as checksum from c join p on e = top - pos group by split, shard)
+select split, sha256(string_agg(shard || ':' || checksum, ',' order by shard)) as fingerprint from m group by split""")
 def stream_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return integrity.fingerprint(shards.manifest(_shards(spark, d)))
 
 
-def _hex(x: str) -> str:
-    return f"hex(encode({x}))"
-
-
-_WHOLE = f"{_trim(_unix("coalesce(text, '')"))}"
-
-
 @query(f"""
-with s as ({_START}), one as (select s.partition_name as split, s.start + 3 as start, 9 as len, {_WHOLE} as t, n from s join articles using (record_id) where n > 40 and record_id % 20 = 0)
+with s as ({_START}), one as (select s.partition_name as split, s.start + 3 as start, 9 as len, {_WHOLE} as t, n from s join articles using (record_id) where n > 40)
 select split, start::bigint as start, len::bigint as len, list_transform(range(4, 13), lambda i: ('0x' || substr({_hex('t')}, (2 * i - 1)::int, 2))::int + 3)::int[] as tokens from one""")
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Nine tokens from the third byte on of each article whose id is divisible by 20."""
-    at = _stream(spark, d).where((F.col("n") > 40) & (F.col("record_id") % 20 == 0))
+    """Nine tokens from the third byte on of each article of more than 40 tokens."""
+    at = _stream(spark, d).where(F.col("n") > 40)
     wanted = at.select(F.col("partition_name").alias("split"), (F.col("start") + 3).alias("start"), F.lit(9).cast("long").alias("len"))
     return shards.windows(_shards(spark, d), wanted, SHARD_TOKENS)
 
 
 SEQUENCE = 1024
-# Bytes as "3C 7C ", in which the markers are found at bytes' bounds only.
-_PAIRED = f"regexp_replace({_hex('t')}, '(..)', '\\1 ', 'g')"
-for _id, _marker in enumerate(tx.MARKERS):
-    _PAIRED = f"replace({_PAIRED}, '{_marker.encode().hex(' ').upper()} ', '#{_id} ')"
-
-
 @query(f"""
 with s as ({_START}), d as (select s.partition_name as split, s.start, {_WHOLE} as t from s join articles using (record_id)),
-i as (select split, start, list_concat(list_transform(list_filter(string_split({_PAIRED}, ' '), lambda x: x <> ''), lambda x: case when x[1] = '#' then x[2]::int else ('0x' || x)::int + 3 end), [2, 13]) as ids from d),
-t as (select split, start + unnest(range(len(ids))) as pos, unnest(ids) as token from i),
+{_TOKENS},
 w as (select split, pos // {SEQUENCE} as k, pos, token from t union all select split, pos // {SEQUENCE} - 1, pos, token from t where pos > 0 and pos % {SEQUENCE} = 0)
 select split, (k * {SEQUENCE})::bigint as start, count(*)::bigint as len, list(token order by pos)::int[] as tokens from w group by split, k having count(*) = {SEQUENCE + 1}""")
 def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -544,7 +658,18 @@ def evaluation_starts(spark: SparkSession, d: str) -> DataFrame:
     return shards.evaluation_starts(spark, 1_453_862, 1024, 256)
 
 
-@query()
+# splitmix64 in numbers of 128 bits: products are taken in two halves.
+_M64 = "18446744073709551616::hugeint"
+
+
+def _times(x: str, y: int) -> str:
+    return f"((({x}) * {y & 0xFFFFFFFF}::hugeint) % {_M64} + ((({x}) * {y >> 32}::hugeint) % 4294967296::hugeint) * 4294967296::hugeint) % {_M64}"
+
+
+@query(f"""
+with i as (select i, {SEED}::hugeint as seed from range(1600) r(i)), a as (select i, (seed + {_times('i::hugeint', 0x9E3779B97F4A7C15)} + {0x9E3779B97F4A7C15}::hugeint) % {_M64} as x from i),
+b as (select i, {_times('xor(x, x >> 30)', 0xBF58476D1CE4E5B9)} as x from a), c as (select i, {_times('xor(x, x >> 27)', 0x94D049BB133111EB)} as x from b)
+select (i // 8)::bigint as step, (i % 8)::bigint as row, (xor(x, x >> 31) % (1453862 - 1024))::bigint as start from c""")
 def training_starts(spark: SparkSession, d: str) -> DataFrame:
     return shards.training_starts(spark, 1_453_862, 1024, 8, 200, SEED)
 
@@ -607,20 +732,11 @@ def drawn_tokens(spark: SparkSession, d: str) -> DataFrame:
     return sampling.choose(dist, draws)
 
 
-@query("""
-with l as (select vec_id as context, i - 1 as id, embedding[i]::double * 10 as logit, i - 1 = vec_id % 8 as seen from embeddings, range(1, 4097) r(i) where i <= len(embedding))
-select context, id::int as id, round(case when not seen then logit when logit < 0 then logit * 1.2 else logit / 1.2 end, 9) as logit from l where id < 8""")
-def repetition_penalty(spark: SparkSession, d: str) -> DataFrame:
-    history = read(spark, d, "embeddings").select(F.col("vec_id").alias("context"), (F.col("vec_id") % 8).cast("int").alias("id"))
-    out = sampling.penalised(_logits(spark, d), history, 1.2).where("id < 8")
-    return out.select("context", "id", F.round("logit", 9).alias("logit"))
-
-
 @query("""
 with l as (select vec_id as context, unnest(range(len(embedding))) as id, unnest(embedding)::double * 10 as logit from embeddings),
 h as (select distinct vec_id as context, (vec_id * 31 + j * 17) % len(embedding) as id, true as seen from embeddings, range(6) r(j) where len(embedding) > 0)
 select context, id::int as id, round(case when seen is null then logit when logit < 0 then logit * 1.2 else logit / 1.2 end, 9) as logit from l left join h using (context, id)""")
-def repetition_penalty_all_ids(spark: SparkSession, d: str) -> DataFrame:
+def repetition_penalty(spark: SparkSession, d: str) -> DataFrame:
     """The penalty over whole vectors, with up to six ids from all of them in each history."""
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: ((F.col("vec_id") * 31 + j * 17) % F.size("embedding")).cast("int")))
     history = read(spark, d, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").alias("context"), at.alias("id"))
@@ -658,3 +774,22 @@ select record_id from (select record_id, row_number() over (partition by text or
 def first_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "articles").where(F.col("text").isNotNull())
     return rows.groupBy(hashing.sha(F.col("text"))).agg(F.min("record_id").alias("record_id")).select("record_id")
+
+
+@query("select distinct sha256(text) as text_sha256 from articles where text is not null")
+def first_texts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that a stream of articles lets through."""
+    source = read(spark, d, "articles")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/articles.parquet*").where(F.col("text").isNotNull())
+    return ingest.drained(ingest.first_texts(stream).select("text_sha256"), "first-texts")
+
+
+@query("""
+select date_trunc('hour', ts) as start, event_type, count(*) as events from events
+where date_trunc('hour', ts) + interval 2 hour <= (select date_trunc('millisecond', max(ts)) from events) group by all""")
+def event_counts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events per hour and kind of a stream, of the hours that its watermark has passed at the end."""
+    source = read(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = ingest.drained(ingest.event_counts(stream), "event-counts")
+    return counted.withColumn("start", F.col("start").cast(source.schema["ts"].dataType))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from decimal import Decimal
 from collections.abc import Sequence
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a build side that may be broadcast; beyond it joins shuffle with salted keys.
@@ -64,6 +65,14 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def ranges(position: Column, low: int, high: int, buckets: int) -> Column:
+    """The bucket, of up to ``buckets`` equal ones, of a whole number between two bounds. Positions may be as far apart
+    as longs can be (hashes, say), so that their distance fits no long."""
+    step = max(1, -(-(int(high) - int(low) + 1) // buckets))
+    wide = "decimal(38,0)"
+    return F.call_function("div", position.cast(wide) - F.lit(Decimal(int(low))).cast(wide), F.lit(Decimal(step)).cast(wide)).cast("int") if int(high) - int(low) >= 1 << 62 else F.floor((position - F.lit(int(low))) / F.lit(step)).cast("int")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +73,23 @@ def token_shards(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def pinned_texts(spark: SparkSession, sources: DataFrame, root: str) -> DataFrame:
-    """sources (id, domain, file, sha256, ...) with ``text`` and ``found_sha256``; a missing file has a null text."""
+    """sources (id, domain, file, sha256, ...) with ``text`` and ``found_sha256``; a missing file has a null text.
+
+    ``file`` is the path inside ``root``; a file of the same name elsewhere is another one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     read = files.select("path", F.sha2("content", 256).alias("found_sha256"), F.decode("content", "UTF-8").alias("text"))
-    return sources.join(read, F.col("path").endswith(F.concat(F.lit("/"), F.col("file"))), "left").drop("path")
+    return sources.join(read.withColumn("file", inside("path", root)).drop("path"), "file", "left")
+
+
+def inside(path: str, root: str) -> Column:
+    """The path of a file inside a folder, for joins by equality. Both may be given with or without a scheme."""
+    plain = lambda p: F.regexp_replace(F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(?://[^/]*)?", "")
+    return F.substr(plain(F.col(path)), F.length(plain(F.lit(root.rstrip("/")))) + 2)
+
+
+def in_order(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with ``pos``: its rows' order by file name and place within the file."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    names = rows.select("__file").distinct().select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__k"))  # one row a file
+    return rows.join(names, "__file").withColumn("pos", F.shiftleft("__k", 40) + F.col("__row")).drop("__file", "__row", "__k")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexiloom.functions import hashing
 from lexiloom.operators import library
-from lexiloom.runtime import cut
+from lexiloom.runtime import cut, shared_folder
 from lexiloom.sources.files import JOURNAL
 
 MOST_ERRORS = 10
@@ -94,6 +94,18 @@ def event_counts(events: DataFrame, event_time: str = "ts", kind: str = "event_t
     return kept.groupBy(F.window(event_time, width).alias("w"), F.col(kind)).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), kind, "events")
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream's source holds now, taken through the stream in append mode to a table in the checkpoint folder.
+
+    Windows that the watermark hasn't passed are not among it.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
+    run_until(query)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def run_until(query: StreamingQuery, stop_file: str | None = None, seconds: float | None = None, poll: float = 0.2) -> str:
     """Wait for a query's end, a STOP file or the time budget; returns end_of_source, STOP or time_budget."""
     began = time.monotonic()

@@ -2,6 +2,7 @@ import hashlib
 import json
 
 from lexiloom.__main__ import main
+from lexiloom.sources import files
 
 LONG = "Le moulin de la colline garde encore ses vieilles pierres, et chacun vient y chercher la farine du matin avant la fête. "
 
@@ -33,6 +34,18 @@ def test_corpus_commands(spark, tmp_path, capsys):
     assert main(["forge-info", f"{tmp_path}/built"]) == 1
 
 
+def test_books_are_imported_in_the_order_of_their_table(spark, tmp_path):
+    text = "\n\n".join(f"{LONG} Chapitre {i}." for i in range(30))
+    rows = [(f"livre-{9 - i}", "95", f"Titre {i}", f"{text}{i * 7919}" if i != 3 else f"{text}0", 10, 900) for i in range(6)] + [("court", "95", "t", "court", 1, 1)]
+    spark.createDataFrame(rows, "file_id string, ocr string, title string, complete_text string, page_count long, word_count long").coalesce(1).write.parquet(f"{tmp_path}/books")
+    (tmp_path / "out").mkdir()
+    main(["import", f"{tmp_path}/books", "--kind", "books", "--out", f"{tmp_path}/out"])
+    manifest = json.loads(next((tmp_path / "out").glob("*manifest.json")).read_text())
+    assert manifest["rejected"]["exact_duplicate"] == 1 and sum(manifest["documents"].values()) >= 1
+    ordered = files.in_order(spark, f"{tmp_path}/books").orderBy("pos").select("file_id").collect()
+    assert [r["file_id"] for r in ordered] == [r[0] for r in rows]
+
+
 def test_tokenizer_commands(spark, tmp_path, capsys):
     (tmp_path / "probes.json").write_text(json.dumps([{"id": "a", "domain": "x", "text": "été"}, {"id": "b", "domain": "y", "text": "🦀"}]))
     assert main(["tokenizer-audit", f"{tmp_path}/probes.json", "--baseline", ""]) == 0

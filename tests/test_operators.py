@@ -88,6 +88,24 @@ def test_accept_is_the_sequential_choice(rows, seed):
         assert {x["pos"]: x["reason"] for x in dedup.accept(df, "pos", one_task=0).collect()} == wanted
 
 
+def test_accept_decides_long_chains(rows):
+    # each row shares its page with the one before and its text with the one after
+    text = lambda k: " ".join(f"m{(k * 7919 + j * 104729) % 99991}" for j in range(12))
+    data = [(i, text(i // 2), f"page {(i + 1) // 2}", "train") for i in range(300)]
+    df = rows(data, "pos long, text string, url string, split string").repartition(3)
+    wanted = {i: "exact_duplicate" if i % 2 else None for i in range(300)}
+    assert {x["pos"]: x["reason"] for x in dedup.accept(df, "pos").collect()} == wanted
+    assert {x["pos"]: x["reason"] for x in dedup.accept(df, "pos", most_rounds=2, one_task=1_150).collect()} == wanted
+
+
+def test_sums_over_positions_as_far_apart_as_hashes(rows):
+    data = [(-(2**63), 5), (-(2**62), 6), (0, 7), (2**62, 8), (2**63 - 1, 9)]
+    df = rows(data, "pos long, n long").withColumn("ok", F.lit(True)).withColumn("s", F.lit("x"))
+    assert [r["pos"] for r in dedup.within_budget(df, "pos", "n", "ok", 20).orderBy("pos").collect()] == [p for p, _ in data[:3]]
+    got = {r["pos"]: r["start"] for r in shards.positions(df, "s", "pos", F.col("n")).collect()}
+    assert [got[p] for p, _ in data] == [0, 5, 11, 18, 26]
+
+
 def test_accept_takes_nulls_and_no_rows(rows):
     schema = "pos long, text string, url string, split string"
     assert dedup.accept(rows([], schema), "pos").count() == 0
