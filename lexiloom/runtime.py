@@ -11,8 +11,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a build side that may be broadcast; beyond it joins shuffle with salted keys.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a build side that may be broadcast; beyond either joins shuffle with salted keys.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 SALTS = 16
 
 
@@ -82,13 +82,16 @@ def small_side_join(
 ) -> DataFrame:
     """Join a table with hot keys to one with unique keys.
 
-    ``small`` is materialised and counted. Up to ``rows`` rows it is broadcast; beyond that both sides are
+    ``small`` is materialised when the plan is built, counted and measured. Up to ``rows`` rows and BROADCAST_BYTES
+    bytes it is broadcast; beyond that both sides are
     shuffled on the keys and a salt, so that a key that holds a third of ``big`` is spread over ``salts`` tasks.
     ``how`` is inner, left, left_semi or left_anti. Null keys match nothing. Columns of both sides other than
     ``on`` must differ.
     """
     small = cut(small)
-    if small.limit(rows + 1).count() <= rows:
+    whole = F.octet_length(F.struct(*[F.col(f"`{c}`") for c in small.columns]).cast("string"))
+    n, size = small.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(whole), F.lit(0))).first()
+    if n <= rows and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), list(on), how)
     salt = "__salt"
     spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
