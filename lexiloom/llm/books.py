@@ -5,16 +5,16 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexiloom.runtime import cut, small_side_join
+from lexiloom.runtime import cut, shared_folder, small_side_join
 
 #: How much more frequent a form must be to stand for a rare one of the same skeleton: alone, and where its neighbours
 #: in the text also stand beside it elsewhere.
@@ -33,11 +33,18 @@ _CLASS = {ord(m): c for c, members in GLYPHS.items() for m in members}
 _TOKEN = re.compile(r"(?:[^\W_]|[̀-ͯ]|[!|$€](?=[^\W_]))+[!|]?['’]?|[!|1]['’](?=[^\W\d_])")
 _ROMAN = re.compile(r"(?i)^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
 _ORDINAL = re.compile(r"(?i)^\d+(?:er|ère|re|e|ème|eme|nd|nde|de|st|th|rd|s|h|°)$")
+_PAGE_SIGNS = re.compile("[\r\f\x0b\u2028]")
 _CHAPTER = re.compile(r"(?i)^(?:chap[i1l!]tre|livre|partie|chapter)\b|^[cç]hap\.")
 
 
+@lru_cache(1)
+def _combining() -> re.Pattern:
+    return re.compile("[" + "".join(chr(o) for o in range(0x300, 0x1F000) if unicodedata.combining(chr(o))) + "]+")
+
+
 def _bare(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    low = text.lower()
+    return low if low.isascii() else _combining().sub("", unicodedata.normalize("NFKD", low))
 
 
 @lru_cache(200_000)
@@ -120,15 +127,21 @@ def page_numbers(lines: list[str]) -> dict[int, int]:
 def _like(a: str, b: str) -> bool:
     if not a or not b or abs(len(a) - len(b)) > 0.25 * max(len(a), len(b)) + 1:
         return False
-    return a == b or difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= LIKE
+    # no more letters can match than both have
+    return a == b or 2 * sum((_letters(a) & _letters(b)).values()) >= LIKE * (len(a) + len(b)) and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= LIKE
+
+
+@lru_cache(10_000)
+def _letters(text: str) -> Counter:
+    return Counter(text)
 
 
 def layout(text: str, title: str | None, author: str | None) -> tuple[list[str], dict[int, str], set[int]]:
     """Lines, the lines that are running headers or page numbers, and those that open a chapter."""
     lines = text.split("\n")
-    plain = [re.sub(r"[\r\f\x0b ]", "", x).strip() for x in lines]
+    plain = [_PAGE_SIGNS.sub("", x).strip() for x in lines]
     filled = [i for i, x in enumerate(plain) if x]
-    kinds = {i: "page_number" for i in page_numbers([re.sub(r"[\r\f\x0b ]", "", x) for x in lines])}
+    kinds = {i: "page_number" for i in page_numbers([_PAGE_SIGNS.sub("", x) for x in lines])}
     opening, names = set(), {}
     following = dict(zip(filled, filled[1:]))
     for i in filled:
@@ -154,7 +167,7 @@ def layout(text: str, title: str | None, author: str | None) -> tuple[list[str],
     # digits are masked by taking the figures off, equal lines are then counted by their skeleton
     repeated = Counter(cores.values())
     for i, core in cores.items():
-        told = core in known or any(_like(core, k) for k in known) and (repeated[core] > 1 or _edge(i, lines, plain, kinds))
+        told = core in known or (repeated[core] > 1 or _edge(i, lines, plain, kinds)) and any(_like(core, k) for k in known)
         if told:
             kinds[i] = "running_header"
     # a name that the row doesn't have, as where the author is null: a line without final sign at the edges of pages only
@@ -171,76 +184,109 @@ def _edge(i: int, lines: list[str], plain: list[str], kinds: dict[int, str]) ->
     return "\f" in lines[i] or len(beside) < 2 or any(not plain[j] or kinds.get(j) == "page_number" or "\f" in lines[j] for j in beside) or plain[i].isupper()
 
 
-def tokens(lines: list[str], kinds: dict[int, str]) -> tuple[set[int], list[tuple[int, int, str, int, int]]]:
-    """Lines that end within a word, and (line, next line, word, letters in the first, place in it) of the words of text lines.
+@dataclass
+class Words:
+    """Words of the text lines of a book, column by column: the line, the line that a broken one goes on in (else -1), the
+    word, its letters in the first line, and its place: the words of the line before it, parts of broken ones included.
+    Besides the compounds that stand within a line, and head and tail of the broken ones."""
 
-    A broken word comes as one, without its hyphen. In a word in one line the next line is -1. The place counts the
-    words of the line before it, parts of broken ones included.
-    """
-    texts = [(i, re.sub(r"[\r\f\x0b ]", " ", x).strip()) for i, x in enumerate(lines) if kinds.get(i) not in ("running_header", "page_number")]
+    line: list[int] = field(default_factory=list)
+    after: list[int] = field(default_factory=list)
+    word: list[str] = field(default_factory=list)
+    size: list[int] = field(default_factory=list)
+    place: list[int] = field(default_factory=list)
+    compounds: list[str] = field(default_factory=list)
+    broken: list[tuple[int, str, str]] = field(default_factory=list)
+
+    def add(self, line: int, words: list[str], first: int = 0) -> None:
+        self.line += [line] * len(words)
+        self.after += [-1] * len(words)
+        self.word += words
+        self.size += map(len, words)
+        self.place += range(first, first + len(words))
+
+    def join(self, line: int, after: int, head: str, tail: str, place: int) -> None:
+        for column, value in zip((self.line, self.after, self.word, self.size, self.place), (line, after, head + tail, len(head), place)):
+            column.append(value)
+        self.broken.append((line, _low(head), _low(tail)))
+
+
+_BREAK = re.compile(rf"([^\W\d_]|['’\d])[{HYPHENS}]\s*$")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?[-‐‑][^\W\d_]+")
+
+
+def _low(word: str) -> str:
+    return word.replace("’", "'").lower()
+
+
+def tokens(lines: list[str], kinds: dict[int, str]) -> tuple[set[int], Words]:
+    """Lines that end within a word, and the words of text lines. A broken word comes as one, without its hyphen."""
+    texts = [(i, _PAGE_SIGNS.sub(" ", x).strip()) for i, x in enumerate(lines) if kinds.get(i) not in ("running_header", "page_number")]
     texts = [(i, x) for i, x in texts if x]
-    broken, out, carry = set(), [], None
+    broken, out, carry = set(), Words(), None
     for k, (i, x) in enumerate(texts):
-        found = [(m.group(), m.start(), m.end(), place) for place, m in enumerate(_TOKEN.finditer(x))]
-        if carry and found and found[0][1] == 0:
-            head, at, place = carry
-            out.append((at, i, head + found[0][0], len(head), place))
-            found = found[1:]
-        elif carry:
-            out.append((carry[1], -1, carry[0], len(carry[0]), carry[2]))
-        carry = None
-        last = re.search(rf"([^\W\d_]|['’\d])[{HYPHENS}]\s*$", x)
-        after = texts[k + 1][1] if k + 1 < len(texts) else ""
-        if last and re.match(r"[^\W_]|[!|]", after):
+        found, first = _TOKEN.findall(x), 0
+        if carry:
+            line, head, place = carry
+            if found and _TOKEN.match(x):
+                out.join(line, i, head, found[0], place)
+                found, first = found[1:], 1
+            else:
+                out.add(line, [head], place)
+            carry = None
+        last = _BREAK.search(x) if x[-1] in HYPHENS else None
+        if last and re.match(r"[^\W_]|[!|]", texts[k + 1][1] if k + 1 < len(texts) else ""):
             broken.add(i)
-            if found and found[-1][2] >= last.start():
-                carry = (found[-1][0], i, found[-1][3])
+            if found and [m.end() for m in _TOKEN.finditer(x)][-1] >= last.start():
+                carry = (i, found[-1], first + len(found) - 1)
                 found = found[:-1]
-        out += [(i, -1, w, len(w), place) for w, _, _, place in found]
+        if "-" in x or "‐" in x or "‑" in x:
+            out.compounds += [_low(c).replace("‐", "-").replace("‑", "-") for c in _COMPOUND.findall(x)]
+        out.add(i, found, first)
     if carry:
-        out.append((carry[1], -1, carry[0], len(carry[0]), carry[2]))
+        out.add(carry[0], [carry[1]], carry[2])
     return broken, out
 
 
-_LINES = "`{id}` {kind}, line_no int, kind string, raw string, opening boolean"
+_ARRAYS = {"line": "int", "after": "int", "word": "string", "low": "string", "size": "int", "place": "int"}
+
 
+def parsed(df: DataFrame, ident: str = "file_id", title: str = "title", author: str = "author", text: str = "complete_text", raw: bool = False) -> DataFrame:
+    """One row for each book with text: its lines of a kind and those that open a chapter, its words as arrays side by
+    side, its compounds and broken words, with ``raw`` its lines too.
+
+    It is written to a table in the checkpoint folder, packed: the texts are laid out once, and what follows explodes
+    arrays where they are read.
+    """
+    names = [ident, "special", "opening", "raw", *_ARRAYS, "compounds", "broken"]
 
-def _parse(ident: str, title: str, author: str, text: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, t, a, x in zip(batch[ident], batch[title], batch[author], batch[text]):
                 lines, kinds, opening = layout(x, t, a)
-                broken, words = tokens(lines, kinds)
-                rows = [(i, kinds.get(i) or ("hyphen_break" if i in broken else None), lines[i], i in opening, None, None, None, None, None) for i in range(len(lines))]
-                rows += [(line, None, None, None, k, after, word, size, place) for k, (line, after, word, size, place) in enumerate(words)]
-                out = pd.DataFrame(rows, columns=["line_no", "kind", "raw", "opening", "__k", "__after", "__word", "__size", "__place"])
-                for c in ("__k", "__after", "__size", "__place"):
-                    out[c] = out[c].astype("Int32")
-                out.insert(0, ident, key)
-                yield out
-
-    return run
+                broken, w = tokens(lines, kinds)
+                special = [(i, kinds.get(i) or "hyphen_break") for i in sorted({*kinds, *broken})]
+                yield pd.DataFrame(
+                    [(key, special, sorted(opening), lines if raw else None, w.line, w.after, w.word, [_low(x) for x in w.word], w.size, w.place, w.compounds, w.broken)], columns=names
+                )
 
-
-def parsed(df: DataFrame, ident: str = "file_id", title: str = "title", author: str = "author", text: str = "complete_text") -> DataFrame:
-    """Lines and words of each book, one after the other; books without text have none."""
-    schema = T.StructType(
-        [
-            T.StructField(ident, df.schema[ident].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("raw", T.StringType()),
-            T.StructField("opening", T.BooleanType()), T.StructField("__k", T.IntegerType()), T.StructField("__after", T.IntegerType()),
-            T.StructField("__word", T.StringType()), T.StructField("__size", T.IntegerType()), T.StructField("__place", T.IntegerType()),
-        ]
-    )
+    key = df.schema[ident].dataType.simpleString()
+    arrays = ", ".join(f"`{c}` array<{t}>" for c, t in _ARRAYS.items())
+    schema = f"`{ident}` {key}, special array<struct<line_no:int,kind:string>>, opening array<int>, raw array<string>, {arrays}, compounds array<string>, broken array<struct<line_no:int,head:string,tail:string>>"
     rows = df.where(F.col(text).isNotNull()).select(ident, title, author, text)
-    return rows.mapInPandas(_parse(ident, title, author, text), schema)
+    folder = shared_folder(df.sparkSession, "books")
+    made = rows.mapInPandas(run, schema)
+    made.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(made.schema).parquet(folder)
 
 
-def _mixed(word: str) -> bool:
+def _mixed(word: Column) -> Column:
     """Figures or signs among the letters of a word, which no frequency has to tell."""
-    bare = word.rstrip("'’")
-    if re.search(r"[^\W\d_][!|$€][^\W\d_]", bare) or (bare in ("1", "!", "|") and word != bare):
-        return True
-    return bool(re.search(r"\d", bare) and re.search(r"[^\W\d_]", bare) and not _ORDINAL.match(bare) and not _ROMAN.match(bare))
+    bare = F.regexp_replace(word, "['’]+$", "")
+    letter = r"[\p{L}\p{M}]"
+    signs = bare.rlike(rf"{letter}[!|$€]{letter}") | (bare.isin("1", "!", "|") & (bare != word))
+    figures = bare.rlike(r"\p{Nd}") & bare.rlike(letter) & ~bare.rlike(_ORDINAL.pattern.replace("(?i)", "(?iu)")) & ~bare.rlike(_ROMAN.pattern)
+    return word.rlike(r"[\d!|$€]") & ~word.rlike(r"^\d+$") & (signs | figures)
 
 
 def _skeleton_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,22 +295,30 @@ def _skeleton_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["__low", "n", "__skeleton", "own"])
 
 
-def misread_words(words: DataFrame, ident: str) -> DataFrame:
-    """The rows of ``words`` (ident, line_no, __k, __after, __word, __size, __place) whose word has a misread character, with ``meant``.
+def word_counts(books: DataFrame) -> DataFrame:
+    """(__low, n, whole) of the words of parsed books: how often each stands, and how often on one line."""
+    each = books.select(F.explode(F.arrays_zip("low", "after")).alias("w")).select(F.col("w.low").alias("__low"), (F.col("w.after") < 0).cast("int").alias("whole"))
+    return each.groupBy("__low").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole"))
+
+
+def misread_words(books: DataFrame, ident: str, counts: DataFrame) -> DataFrame:
+    """Place, word and ``meant`` of the words of parsed books that have a misread character.
 
     All words are counted over all books and grouped by skeleton. The forms of a group that are RATIO_IN_CONTEXT times
     as frequent as a rare one are compared in each place by how often they stand beside the word before and the word
     behind elsewhere; the best supported one is meant, of equal ones the most frequent. Where none is supported the
     most frequent one is, if it is RATIO_ALONE times as frequent. Words with figures among their letters need no such
-    form; ``meant`` is null then.
+    form; ``meant`` is null then. Only suspects leave the arrays that they stand in, and only pairs of words that a
+    suspect asks for are counted.
     """
-    low = F.lower(F.regexp_replace("__word", "’", "'"))
-    order = Window.partitionBy(ident).orderBy("line_no", "__k")
-    rows = words.select(
-        ident, "line_no", "__k", "__after", "__word", "__size", "__place", low.alias("__low"),
-        F.lag(low).over(order).alias("__before"), F.lead(low).over(order).alias("__next"),
+    n = F.size("low")
+    none = F.array(F.lit(None).cast("string"))
+    sides_ = F.arrays_zip("line", "after", "word", "size", "place", "low", F.concat(none, F.slice("low", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("low", F.lit(2), n - 1), none).alias("next"))
+    filled = books.where(n > 0)
+    rows = filled.select(ident, F.posexplode(sides_).alias("__k", "w")).select(
+        ident, F.col("w.line").alias("line_no"), "__k", F.col("w.after").alias("__after"), F.col("w.word").alias("__word"), F.col("w.size").alias("__size"),
+        F.col("w.place").alias("__place"), F.col("w.low").alias("__low"), F.col("w.before").alias("__before"), F.col("w.next").alias("__next"),
     )
-    counts = cut(rows.groupBy("__low").agg(F.count(F.lit(1)).alias("n")))
     shaped = counts.where((F.length("__low") >= 2) & ~F.col("__low").rlike(r"^\d+$")).mapInPandas(
         _skeleton_rows, "__low string, n long, __skeleton string, own boolean"
     )
@@ -275,16 +329,17 @@ def misread_words(words: DataFrame, ident: str) -> DataFrame:
         .groupBy("__low")
         .agg(F.max("n").alias("__n"), F.collect_set(F.struct("__m", "meant")).alias("__forms"))
     )
-    mixed = F.udf(_mixed, "boolean")
-    odd = counts.where(F.col("__low").rlike(r"[\d!|$€]") & ~F.col("__low").rlike(r"^\d+$")).where(mixed("__low")).select("__low", F.lit(True).alias("__odd"))
+    odd = counts.where(_mixed(F.col("__low"))).select("__low", F.lit(True).alias("__odd"))
     wanted = better.join(odd, "__low", "full").select("__low", "__n", "__forms", F.coalesce("__odd", F.lit(False)).alias("__odd"))
     suspects = cut(small_side_join(rows, wanted, ["__low"]))
-    pairs = rows.where(F.col("__before").isNotNull()).groupBy(F.col("__before").alias("__a"), F.col("__low").alias("__b")).agg(F.count(F.lit(1)).alias("__pairs"))
     place = [ident, "line_no", "__k"]
     each = suspects.select(*place, "__before", "__next", F.explode("__forms").alias("__form"))
     sides = each.select(*place, "__form", F.col("__before").alias("__a"), F.col("__form.meant").alias("__b")).unionByName(
         each.select(*place, "__form", F.col("__form.meant").alias("__a"), F.col("__next").alias("__b"))
     )
+    beside = F.zip_with(F.slice("low", F.lit(1), n - 1), F.slice("low", F.lit(2), n - 1), lambda a, b: F.struct(a.alias("__a"), b.alias("__b")))
+    asked = sides.where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).select("__a", "__b").distinct()
+    pairs = small_side_join(filled.select(F.explode(beside).alias("p")).select("p.*"), asked, ["__a", "__b"], "left_semi").groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__pairs"))
     # the product of the counts of both sides: one frequent neighbour alone doesn't settle it against two
     backed = sides.join(pairs, ["__a", "__b"]).groupBy(*place, "__form").agg(F.sum(F.log1p("__pairs")).alias("__support"))
     chosen = backed.groupBy(*place).agg(F.max(F.struct("__support", "__form")).alias("__best"))
@@ -316,11 +371,10 @@ def _places(ident: str):
 
 def affected_lines(df: DataFrame, ident: str = "file_id", title: str = "title", author: str = "author", text: str = "complete_text") -> DataFrame:
     """(ident, line_no, kind): running_header, page_number, hyphen_break and misread lines; a line may have two kinds."""
-    rows = cut(parsed(df, ident, title, author, text))
-    lines = rows.where(F.col("kind").isNotNull()).select(ident, "line_no", "kind")
-    words = rows.where(F.col("__word").isNotNull())
+    books = parsed(df, ident, title, author, text)
+    lines = books.select(ident, F.inline("special"))
     key = df.schema[ident].dataType.simpleString()
-    places = misread_words(words, ident).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __place int")
+    places = misread_words(books, ident, cut(word_counts(books))).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __place int")
     return lines.unionByName(places.select(ident, "line_no", F.lit("misread").alias("kind")).distinct())
 
 
@@ -331,12 +385,14 @@ def paragraphs(df: DataFrame, ident: str = "file_id", title: str = "title", auth
     in the books than the one with it), misread words get the form that stands for them, and lines run on to the next
     blank line, indentation or chapter. A paragraph that runs over a page break stays one.
     """
-    rows = cut(parsed(df, ident, title, author, text))
-    words = rows.where(F.col("__word").isNotNull())
+    books = parsed(df, ident, title, author, text, raw=True)
+    counts = cut(word_counts(books))
     key = df.schema[ident].dataType.simpleString()
-    wrong = misread_words(words, ident).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __place int")
+    wrong = misread_words(books, ident, counts).mapInPandas(_places(ident), f"`{ident}` {key}, line_no int, __word string, meant string, __place int")
     fixes = wrong.where(F.col("meant").isNotNull() & F.col("__place").isNotNull()).groupBy(ident, "line_no").agg(F.collect_list(F.struct("__place", "__word", "meant")).alias("__fixes"))
-    lines = rows.where(F.col("raw").isNotNull()).join(fixes, [ident, "line_no"], "left")
+    told = F.map_from_entries(F.transform("special", lambda x: F.struct(x["line_no"], x["kind"])))
+    place = F.transform("raw", lambda x, i: F.struct(i.cast("int").alias("line_no"), x.alias("raw"), F.try_element_at(told, i.cast("int")).alias("kind"), F.array_contains("opening", i.cast("int")).alias("opening")))
+    lines = books.select(ident, F.inline(place)).join(fixes, [ident, "line_no"], "left").join(_hyphened(books, ident, counts), [ident, "line_no"], "left")
     clean = F.regexp_replace("raw", r"[\r\f\x0b ]", "")
     order = Window.partitionBy(ident).orderBy("line_no")
     text_line = ~F.coalesce(F.col("kind").isin("running_header", "page_number"), F.lit(False))
@@ -347,30 +403,45 @@ def paragraphs(df: DataFrame, ident: str = "file_id", title: str = "title", auth
     lines = lines.where(~(blank & (F.col("__gap") | F.coalesce("__ahead", F.lit(False)))))
     before_blank = F.lag(blank, 1, True).over(order)
     starts = blank | before_blank | F.col("__text").rlike(r"^\s{2,}\S") | F.col("opening") | F.lag("opening", 1, False).over(order)
-    numbered = lines.select(ident, "line_no", "kind", "raw", "__fixes", F.sum(F.when(starts, 1).otherwise(0)).over(order).alias("__p"), blank.alias("__blank"))
+    numbered = lines.select(ident, "line_no", "kind", "raw", "__fixes", "__hyphen", F.sum(F.when(starts, 1).otherwise(0)).over(order).alias("__p"), blank.alias("__blank"))
     numbered = numbered.where(~F.col("__blank"))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for x, fixes_, kind in zip(batch["raw"], batch["__fixes"], batch["kind"]):
-                plain = re.sub("[\r\f\x0b\u2028]", " ", x)  # as the words were told apart
+            for x, fixes_, kind, hyphen in zip(batch["raw"], batch["__fixes"], batch["kind"], batch["__hyphen"]):
+                plain = _PAGE_SIGNS.sub(" ", x)  # as the words were told apart
                 start = len(plain) - len(plain.lstrip())
                 found = [m.span() for m in _TOKEN.finditer(plain.strip())] if fixes_ is not None else []
                 for fix in sorted(fixes_ if fixes_ is not None else [], key=lambda f: -f["__place"]):
                     (a, b), word, meant = found[fix["__place"]], fix["__word"], fix["meant"]
                     x = x[: start + a] + (meant.capitalize() if word[:1].isupper() else meant) + x[start + b :]
-                x = re.sub("[\r\f\x0b\u2028]", "", x).strip()
+                x = _PAGE_SIGNS.sub("", x).strip()
                 if kind == "hyphen_break":
-                    x = re.sub(rf"[{HYPHENS}]\s*$", "\x00" if re.search(r"[-‐‑]\s*$", x) else "\x01", x)
+                    x = re.sub(rf"[{HYPHENS}]\s*$", "-\x00" if hyphen == True and re.search(r"[-‐‑]\s*$", x) else "\x00", x)  # noqa: E712
                 out.append(x)
             yield pd.DataFrame({ident: batch[ident], "line_no": batch["line_no"], "__p": batch["__p"], "__text": out})
 
     mended = numbered.mapInPandas(mend, f"`{ident}` {key}, line_no int, __p long, __text string")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "__text"))), lambda x: x["__text"]), "\n")
     made = mended.groupBy(ident, "__p").agg(F.min("line_no").alias("__first"), joined.alias("text"))
-    # words whose own hyphen stood at the line's end
-    compound = F.regexp_replace("text", "(?i)(au|par|là|ci|non|demi|contre|avant|arrière|sous|vice|grand|quelques|vis|peut|c'est|celui|celle|ceux)\x00\n", "$1-")
-    made = made.withColumn("text", F.regexp_replace(compound, "[\x00\x01]\n", "")).withColumn("text", F.trim(F.regexp_replace("text", r"\s*\n\s*", " ")))
+    made = made.withColumn("text", F.regexp_replace("text", "\x00\n", "")).withColumn("text", F.trim(F.regexp_replace("text", r"\s*\n\s*", " ")))
     number = F.row_number().over(Window.partitionBy(ident).orderBy("__first")).alias("paragraph")
-    return made.select(ident, number, F.regexp_replace("text", "[\x00\x01]", "-").alias("text"))
+    return made.select(ident, number, F.regexp_replace("text", "-?\x00", "-").alias("text"))
+
+
+#: Heads of compounds, for those that stand nowhere else in the books, neither with hyphen nor joined.
+COMPOUND_HEADS = ("au", "par", "là", "ci", "non", "demi", "contre", "avant", "arrière", "sous", "vice", "grand", "quelques", "vis", "peut", "c'est", "celui", "celle", "ceux")
+
+
+def _hyphened(books: DataFrame, ident: str, counts: DataFrame) -> DataFrame:
+    """(ident, line_no, __hyphen) of lines that end within a word: whether the hyphen is the word's own, because the
+    compound stands more often within the lines of all books than the joined word does."""
+    broken = cut(books.select(ident, F.inline("broken")).withColumn("__low", F.concat("head", "tail")).withColumn("__compound", F.concat_ws("-", "head", "tail")))
+    joined = counts.join(broken.select("__low").distinct(), "__low", "left_semi").select("__low", "whole")
+    wanted = broken.select("__compound").distinct()
+    compounds = small_side_join(books.select(F.explode("compounds").alias("__compound")), wanted, ["__compound"], "left_semi").groupBy("__compound").agg(F.count(F.lit(1)).alias("__n"))
+    both = small_side_join(small_side_join(broken, joined, ["__low"], "left"), compounds, ["__compound"], "left")
+    with_, without = F.coalesce("__n", F.lit(0)), F.coalesce("whole", F.lit(0))
+    own = F.when((with_ == 0) & (without == 0), F.col("head").isin(*COMPOUND_HEADS)).otherwise(with_ > without)
+    return both.groupBy(ident, "line_no").agg(F.max(own).alias("__hyphen"))
