@@ -37,14 +37,15 @@ _PAGE_SIGNS = re.compile("[\r\f\x0b\u2028]")
 _CHAPTER = re.compile(r"(?i)^(?:chap[i1l!]tre|livre|partie|chapter)\b|^[cç]hap\.")
 
 
-@lru_cache(1)
-def _combining() -> re.Pattern:
-    return re.compile("[" + "".join(chr(o) for o in range(0x300, 0x1F000) if unicodedata.combining(chr(o))) + "]+")
+_MARKS, _BEYOND = re.compile("[\u0300-\u036f]+"), re.compile("[\u0483-\U0010ffff]")  # no other marks below
 
 
 def _bare(text: str) -> str:
     low = text.lower()
-    return low if low.isascii() else _combining().sub("", unicodedata.normalize("NFKD", low))
+    if low.isascii():
+        return low
+    made = _MARKS.sub("", unicodedata.normalize("NFKD", low))
+    return "".join(c for c in made if not unicodedata.combining(c)) if _BEYOND.search(made) else made
 
 
 @lru_cache(200_000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import budget
@@ -13,8 +13,9 @@ from lexiloom.runtime import cut
 
 #: Buckets of a cell over which its running sum is split.
 BUCKETS = 64
-#: Rounds of proportional fitting at most, and the largest relative gap of a marginal at which it ends.
-ROUNDS, GAP = 200, 1e-9
+#: Rounds of proportional fitting at most, the largest relative change of a marginal at which it ends, and the rounds
+#: without a smaller one after which marginals count as contradicting each other under the caps.
+ROUNDS, GAP, STUCK = 10_000, 1e-9, 200
 #: Cells (source, language, topic) that the fit takes; there are as many as combinations of labels, not of documents.
 MOST_CELLS = 1_000_000
 
@@ -40,8 +41,9 @@ def fit(cells: dict[tuple, float], marginals: list[Mapping[object, float]], caps
 
     ``cells`` are available tokens by key; ``marginals`` gives, for each place of the key, wanted tokens by label (a
     place may want nothing: an empty mapping). Each round scales the cells of each label to what it wants; cells over
-    their cap are set to it. Returns wanted tokens by cell. Ends after ROUNDS or when all marginals that the caps
-    allow are met.
+    their cap are set to it. Returns wanted tokens by cell. Ends when all marginals that the caps allow are met, or
+    when the gap has stopped to shrink because marginals and caps contradict each other: then the last place's marginal,
+    the sources in a mix, holds, and the others are as near as they come. Fails if ROUNDS end it while it still shrinks.
     """
     keys = list(cells)
     weight = np.array([cells[k] for k in keys], float)
@@ -53,6 +55,7 @@ def fit(cells: dict[tuple, float], marginals: list[Mapping[object, float]], caps
         of = np.array([at.get(k[place], -1) for k in keys])
         if labels:
             groups.append((of, np.array([wanted[x] for x in labels], float)))
+    least, since = float("inf"), 0
     for _ in range(ROUNDS):
         gap = 0.0
         for of, wanted in groups:
@@ -71,8 +74,14 @@ def fit(cells: dict[tuple, float], marginals: list[Mapping[object, float]], caps
                     break
                 weight = np.where(over, most, weight)
                 free &= ~over
-        if gap < GAP:
+        if gap < least * (1 - 1e-3):
+            least, since = gap, 0
+        else:
+            since += 1
+        if gap < GAP or since >= STUCK:
             break
+    else:
+        raise RuntimeError(f"the fit still moves by {gap:.2g} after {ROUNDS} rounds")
     return dict(zip(keys, weight.tolist()))
 
 
@@ -124,6 +133,10 @@ def mix(
     and then within each, so no task holds a whole source.
     """
     rows = cut(texts(documents, targets, **tokenizer))
+    return _mixed(rows, targets, total, marginals, seed, buckets)
+
+
+def _mixed(rows: DataFrame, targets: DataFrame, total: int | None, marginals: Mapping[str, Mapping[str, float]] | None, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
     plan, _ = _plan(rows, targets, total, marginals)
     cell = ["source", "language", "topic"]
     none = "\x00"
@@ -149,9 +162,9 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, m
     ``share`` is of the mix's own tokens; ``share_of_goal`` of the size aimed at, which sources that fall short don't
     change for the others; ``reached`` tells whether the cap allowed the target.
     """
-    tokenizer = {k: v for k, v in options.items() if k in ("tokenizer", "folder", "chunk", "overlap")}
-    rows = cut(texts(documents, targets, **tokenizer))
-    mixed = mix(documents, targets, total, marginals, **options)
+    how = {k: options.pop(k) for k in ("seed", "buckets") if k in options}
+    rows = cut(texts(documents, targets, **options))
+    mixed = cut(_mixed(rows, targets, total, marginals, **how))
     have = rows.groupBy("source").agg(F.sum("tokens").alias("available_tokens"), F.count(F.lit(1)).alias("available_texts"))
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.count(F.lit(1)).alias("mix_texts"), F.max("copies").alias("largest_repeat"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -165,3 +178,23 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, m
         .withColumn("share_of_goal", F.try_divide(F.col("mix_tokens").cast("double"), size))
         .withColumn("reached", F.col("goal_tokens") <= F.col("available_tokens") * F.col("max_repeats"))
     )
+
+
+def marginal_shares(documents: DataFrame, targets: DataFrame, total: int | None = None, marginals: Mapping[str, Mapping[str, float]] | None = None, **options) -> DataFrame:
+    """One row per language and per topic: side, label, its tokens available and in the mix, the share it has and,
+    where ``marginals`` give one, should have."""
+    how = {k: options.pop(k) for k in ("seed", "buckets") if k in options}
+    rows = cut(texts(documents, targets, **options))
+    mixed = cut(_mixed(rows, targets, total, marginals, **how))
+    wanted = [(side, label, float(share)) for side, by in (marginals or {}).items() for label, share in by.items()]
+    goal = documents.sparkSession.createDataFrame(wanted, "side string, label string, target_share double")
+
+    def sums(df: DataFrame, value: Column, name: str) -> DataFrame:
+        each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("label")) for c in ("language", "topic")])).alias("k"), value.alias("v"))
+        return each.groupBy("k.side", "k.label").agg(F.sum("v").alias(name))
+
+    have, got = sums(rows, F.col("tokens"), "available_tokens"), sums(mixed, F.col("tokens") * F.col("copies"), "mix_tokens")
+    same = lambda a, b: (a["side"] == b["side"]) & a["label"].eqNullSafe(b["label"])
+    out = have.join(got, same(have, got), "left").select(have["side"], have["label"], "available_tokens", F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"))
+    out = out.join(goal, same(out, goal), "left").select(out["side"], out["label"], "available_tokens", "mix_tokens", "target_share")
+    return out.withColumn("share", F.try_divide(F.col("mix_tokens").cast("double"), F.sum("mix_tokens").over(Window.partitionBy("side")).cast("double")))

@@ -18,7 +18,7 @@ from lexiloom.llm.words import COMMON
 CHUNK, HALO = 262_144, 64
 
 #: What is counted of each line; every count is a sum over its characters or words, so parts of a line add up.
-SUMS = ["chars", "letters", "digits", "spaces", "symbols", "words", "common", "word_chars", "pipes", "tabs", "semicolons", "slashes", "commas", "gaps", "inner", "mixed", "coded", "ends", *(f"same{d}" for d in range(1, 9))]
+SUMS = ["chars", "letters", "foreign", "digits", "spaces", "symbols", "words", "common", "word_chars", "pipes", "tabs", "semicolons", "slashes", "commas", "gaps", "inner", "mixed", "coded", "ends", *(f"same{d}" for d in range(1, 9))]
 KINDS = ["prose", "list", "table", "junk"]
 
 SPACE, LETTER, DIGIT, STOP, COMMA, PIPE, BULLET, CLOSER, SYMBOL, LINE = range(10)
@@ -65,6 +65,7 @@ def _classes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     e280 = e2 & (two == 0x80)
     kind[at[e280 & ((third == 0x99) | (third == 0x9D))]] = CLOSER
     kind[at[e280 & (third == 0xA6)]] = STOP
+    kind[at[((raw[at] == 0xE3) & (two == 0x80) & (third == 0x82)) | ((raw[at] == 0xEF) & (two == 0xBC) & np.isin(third, [0x81, 0x8E, 0x9F]))]] = STOP  # full-width ones
     kind[at[e280 & ((third == 0xA2) | (third == 0x93) | (third == 0x94))]] = BULLET
     kind[at[e280 & ((third < 0x90) | (third == 0xAF))]] = SPACE
     kind[at[e2 & ((two == 0x96) | (two == 0x97)) & (third >= 0xA0)]] = BULLET
@@ -127,6 +128,10 @@ def line_counts(texts: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray],
     letter, digit, space = kind == LETTER, kind == DIGIT, kind == SPACE
     before = np.concatenate([[LINE], kind[:-1]])
     out = {"chars": tally.sum(axis=1) - tally[:, LINE], "letters": tally[:, LETTER], "digits": tally[:, DIGIT], "spaces": tally[:, SPACE]}
+    # letters beyond Latin, by the first byte of a character; U+1E00 to U+1EFF are Latin
+    beyond = letter & lead & (raw >= 0xCD) & (raw < 0xF0)
+    beyond &= ~((raw == 0xE1) & np.isin(np.concatenate([raw[1:], [0]]), [0xB8, 0xB9, 0xBA, 0xBB]))
+    out["foreign"] = per_line(beyond)
     out["symbols"] = tally[:, SYMBOL] + tally[:, PIPE] + tally[:, BULLET]
     begin = np.flatnonzero(letter & (before != LETTER))
     hashes = _word_hashes(raw, letter, begin)
@@ -175,18 +180,21 @@ def line_kinds(x: dict[str, np.ndarray], sign: dict[str, np.ndarray]) -> np.ndar
     """Index into KINDS for each line."""
     solid = np.maximum(x["chars"] - x["spaces"], 1)
     words = np.maximum(x["words"], 1)
-    share = x["common"] / words
+    # the dictionaries are of languages in Latin script; in others the share of common words says nothing
+    foreign = x["foreign"] > 0.5 * np.maximum(x["letters"], 1)
+    share = np.where(foreign, 0.3, x["common"] / words)
     repeated = np.max([x[f"same{d}"] for d in range(1, 9)], axis=0)
     odd = x["inner"] + x["mixed"]
     cells = np.maximum.reduce([x["pipes"], x["tabs"], x["semicolons"], x["slashes"], x["gaps"]])
     junk = (x["words"] >= 6) & (repeated > 0.55 * words)
     junk |= (x["symbols"] > 0.5 * solid) & (x["letters"] + x["digits"] < 0.35 * solid) & (solid >= 8)
     junk |= (x["coded"] > 0.12 * solid) & (x["words"] >= 3) & (cells == 0)
-    junk |= (x["letters"] > 0.5 * solid) & (x["word_chars"] > 18 * words) & (solid >= 24)
+    junk |= (x["letters"] > 0.5 * solid) & (x["word_chars"] > 18 * words) & (solid >= 24) & ~foreign
     rows = (x["semicolons"] >= 2) & (x["commas"] == 0) & (x["inner"] <= x["semicolons"]) & (x["mixed"] == 0)
     junk |= (odd > 0.08 * words) & (odd >= 2) & (share < 0.38) & ~rows
     junk |= (x["words"] >= 8) & (share < 0.08) & (cells == 0) & (x["commas"] < 0.15 * words) & (x["letters"] > 0.8 * solid)
     prose = (share >= 0.15) & (x["words"] >= 4) & (sign["terminal"] | ((x["words"] >= 12) & (x["commas"] < 0.18 * words)))
+    prose |= foreign & (x["letters"] >= 12) & sign["terminal"] & (x["letters"] > 0.6 * solid)  # some scripts don't part words
     prose &= ~(sign["bullet"] & (x["words"] <= 6) & ~sign["terminal"])
     table = (cells >= 1) & (share < 0.3) & (cells != x["semicolons"])
     table |= cells >= 2

@@ -106,6 +106,19 @@ def _mix_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return budget.small_side(rows, domains, "source"), targets
 
 
+#: Shares of the mix's tokens by topic, beside the targets of the sources; languages keep what those imply.
+TOPICS = {"french": 0.7, "english": 0.12, "code": 0.1, "other": 0.08}
+
+
+def _languages(inputs: tuple[DataFrame, DataFrame]) -> dict[str | None, float]:
+    """Shares by language of the characters of the texts with a target, to the power of 0.9, which gives small
+    languages more. Languages are few: a row for each is collected."""
+    documents, targets = inputs
+    rows = documents.join(F.broadcast(targets.select("source")), "source").where("text <> ''").groupBy("language").agg(F.sum(F.length("text")).alias("n")).collect()
+    weight = {r["language"]: r["n"] ** 0.9 for r in rows}
+    return {language: w / sum(weight.values()) for language, w in weight.items()}
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix: each chosen document, its tokens, and how often it is used."""
     return mixing.mix(*_mix_inputs(spark, d)).select("doc_id", "source", "language", "tokens", "copies")
@@ -115,6 +128,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix_inputs(spark, d))
 
 
+def p8_raked_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each language and topic gets in a mix that is raked to marginals of sources, languages and topics."""
+    inputs = _mix_inputs(spark, d)
+    return mixing.marginal_shares(*inputs, marginals={"language": _languages(inputs), "topic": TOPICS})
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.inspected(read(spark, d, "documents")).where("garbled").select("doc_id")
 
@@ -123,7 +142,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.inspected(read(spark, d, "documents")).where("garbled").select("doc_id", "original", "spans", "how")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_counts, p4_token_totals, p4_document_tokens, p5_found, p5_paragraphs, p6_found, p6_statistics, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_counts, p4_token_totals, p4_document_tokens, p5_found, p5_paragraphs, p6_found, p6_statistics, p7_ids, p8_mix, p8_shares, p8_raked_shares, p9_found, p9_restored)}
 
 # DuckDB's \s knows no white space beyond ASCII, so the class is spelled out.
 _WHITE = r"[\t\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

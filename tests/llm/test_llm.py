@@ -178,6 +178,19 @@ def data_split(data, i):
     return next(s for k, _, s in data if k == i)
 
 
+def test_prose_in_other_scripts_is_no_junk(rows):
+    texts_ = ["Мельница стоит на холме, и каждое утро мельник открывает её старую дверь. Потом он мелет зерно.", "Ο μύλος στέκεται στον λόφο και κάθε πρωί ο μυλωνάς ανοίγει την παλιά πόρτα του.", "水車小屋は丘の上にあり、毎朝粉屋が古い扉を開けて麦を挽いている。"]
+    data = [(i, t) for i, t in enumerate(texts_)] + [(9, "xq7 zz9k 4tt8 qq1w 8hj3 pp0x z7z7 k2k2 " * 4)]
+    got = {r["record_id"]: r["kind"] for r in quality.statistics(rows(data, "record_id long, text string"), "record_id").collect()}
+    assert got == {0: None, 1: None, 2: None, 9: "junk"}
+
+
+def test_hyphens_that_are_a_words_own(rows):
+    text = "Un porte-plume est là. Le porte-plume est vieux.\nOn aime le porte-\nplume du maître et le jar-\ndin du moulin.\nLe jardin est vert. Un beau jardin."
+    made = " ".join(r["text"] for r in books.paragraphs(book(rows, ("T", "A", text, "x"))).collect())
+    assert "le porte-plume du maître" in made and "le jardin du moulin" in made
+
+
 def test_overlaps_of_nothing(rows):
     schema = "record_id long, text string, partition_name string"
     assert overlap.overlaps(rows([], schema)).count() == 0
@@ -358,6 +371,9 @@ def test_fit_meets_marginals():
     capped = mixing.fit({("a", "x"): 10.0, ("a", "y"): 90.0}, [{"a": 150.0}, {}], {("a", "x"): 12.0, ("a", "y"): 180.0})
     assert capped[("a", "x")] <= 12.0 and sum(capped.values()) == pytest.approx(150)
     assert mixing.fit({}, [{}], {}) == {}
+    # sides that can't be met together: the last one holds
+    torn = mixing.fit({("a", "x"): 50.0, ("b", "y"): 50.0}, [{"a": 80.0, "b": 20.0}, {"x": 30.0, "y": 70.0}], {("a", "x"): 1000.0, ("b", "y"): 1000.0})
+    assert round(torn["a", "x"], 6) == 30 and round(torn["b", "y"], 6) == 70
 
 
 def test_mix(rows, reference):
