@@ -15,7 +15,7 @@ from lexiloom.functions import text as tx
 from lexiloom.operators import audit, curation, dedup, dialogue, integrity, library, mix, quality, shards, splits
 from lexiloom.sinks import files as sinks
 from lexiloom.sources import files, paged
-from lexiloom.streaming import ingest
+from lexiloom.streaming import ingest, research
 
 
 def _show(value) -> None:
@@ -78,24 +78,42 @@ def _build(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+BYTE_VOCABULARY = 259
+
+
+def _listed(spark: SparkSession, manifest: dict) -> DataFrame:
+    rows = [(r["split"], r["shard"], r["name"], r["bytes"] // 4, r["bytes"], r["sha256"]) for r in manifest["files"]]
+    return spark.createDataFrame(rows, "split string, shard long, name string, tokens long, bytes long, sha256 string")
+
+
 def _info(spark: SparkSession, a: argparse.Namespace) -> int:
     """Problems of a built folder against its manifest."""
     manifest = json.loads(spark.read.text(f"{a.source}/manifest.json", wholetext=True).first()[0])
     expected = spark.createDataFrame([(r["name"], r["bytes"], r["sha256"]) for r in manifest["files"]], "file string, bytes long, sha256 string")
     problems = _rows(integrity.unpinned(integrity.file_hashes(spark, f"{a.source}/shards", "*.u32"), expected))
-    listed = spark.createDataFrame([(r["split"], r["shard"], r["name"], r["bytes"] // 4, r["bytes"]) for r in manifest["files"]], "split string, shard long, name string, tokens long, bytes long")
+    listed = _listed(spark, manifest)
     problems += _rows(shards.manifest_problems(listed, manifest["shard_tokens"]))
+    vocabulary = spark.range(BYTE_VOCABULARY)
+    for split in hashing.SPLITS:
+        found = files.token_shards(spark, f"{a.source}/shards", split)
+        problems += _rows(shards.file_problems(found, listed.where(F.col("split") == split), vocabulary).where(F.col("problem").isin("ids", "alignment", "unexpected")))
     _show({"shard_tokens": manifest["shard_tokens"], "files": len(manifest["files"]), "problems": problems})
     return 1 if problems else 0
 
 
 def _stream_check(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Evenly spread windows of one split and their checksum; other splits aren't read."""
+    """Evenly spread windows of one split and their checksum, after a check of its files; other splits aren't read."""
     manifest = json.loads(spark.read.text(f"{a.source}/manifest.json", wholetext=True).first()[0])
     total = sum(r["bytes"] // 4 for r in manifest["files"] if r["split"] == a.split)
     starts = shards.evaluation_starts(spark, total, a.sequence, a.windows)
     wanted = starts.select(F.lit(a.split).alias("split"), "start", F.lit(a.sequence + 1).cast("long").alias("len"))
-    read = shards.windows(files.token_shards(spark, f"{a.source}/shards", a.split), wanted, manifest["shard_tokens"])
+    listed = _listed(spark, manifest).where(F.col("split") == a.split)
+    try:
+        found = shards.verified(files.token_shards(spark, f"{a.source}/shards", a.split), listed, spark.range(BYTE_VOCABULARY))
+    except ValueError as error:
+        _show({"problems": str(error)})
+        return 1
+    read = shards.windows(found, wanted, manifest["shard_tokens"])
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "tokens"))), lambda x: x["tokens"]))
     row = read.agg(F.count(F.lit(1)).alias("windows"), hashing.checksum(whole).alias("checksum"), F.sum((F.size("tokens") != F.col("len")).cast("int")).alias("short")).first()
     _show(row.asDict())
@@ -168,6 +186,46 @@ def _research(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _research_topic(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Collect articles by topic from the encyclopedia, as a configuration says, with exports of its cycles."""
+    config = json.loads(spark.read.text(a.source, wholetext=True).first()[0])
+    if problems := research.config_problems(config):
+        _show({"problems": problems})
+        return 1
+    addresses = {k: v for k, v in (("search", a.search_url), ("page", a.page_url)) if v}
+    _show({"stopped": research.collect(research.Session(spark, a.library, a.session, **addresses), config, context=a.context)})
+    return 0
+
+
+def _export(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The latest revisions of a library as split files; fails while a split has too little text."""
+    try:
+        _show(sinks.write_export(spark.read.parquet(a.library).select("article.*"), a.out, a.context))
+    except sinks.TooLittle as error:
+        _show({"problem": str(error)})
+        return 1
+    return 0
+
+
+def _list(spark: SparkSession, a: argparse.Namespace) -> int:
+    """All revisions of a library by language, page and revision, as a table of JSON lines."""
+    research.articles(spark.read.parquet(a.library)).write.mode("errorifexists").json(a.out)
+    return 0
+
+
+def _seed(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Split files of course units (id, topic, text); fails on repeated ids or texts and on empty splits."""
+    units = files.strict_json(spark, a.source, "id string, topic string, text string").drop("file")
+    if problems := _rows(splits.unit_problems(units)):
+        _show({"problems": problems})
+        return 1
+    summary = _rows(splits.unit_summary(units).orderBy("split", "topic"))
+    sinks.write_splits(splits.with_split(units, F.col("id"), unit=True), f"{a.out}/corpus", order="id")
+    splits.with_split(units, F.col("id"), unit=True).select("split", "id", "topic").orderBy("split", "id").write.mode("errorifexists").json(f"{a.out}/units")
+    sinks.write_manifest(a.out, {"format_version": 1, "partitions": summary, "unit_count": sum(r["units"] for r in summary)})
+    return 0
+
+
 def _search(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = spark.read.parquet(a.library).select("article.*").withColumn("record_id", F.xxhash64("language", "id", "revision_id"))
     _show(_rows(library.search(library.latest(rows), a.query, a.limit).select("score", "title", "url", tx.excerpt(F.col("text")).alias("excerpt"))))
@@ -200,6 +258,10 @@ def parser() -> argparse.ArgumentParser:
     add("tokenizer-audit", _audit, source, ("--tokenizer", {}), ("--baseline", {}), ("--out", {}))
     add("prepare-dialogue", _dialogue, source, out)
     add("research", _research, source, ("--library", {"required": True}), ("--checkpoint", {"required": True}), ("--journal", {}), ("--stop", {}), ("--seconds", {"type": float}))
+    add("research-topic", _research_topic, source, ("--library", {"required": True}), ("--session", {"required": True}), ("--search-url", {}), ("--page-url", {}), number("--context", 128))
+    add("export-library", _export, ("library", {}), out, number("--context", 128))
+    add("list-library", _list, ("library", {}), out)
+    add("prepare-seed", _seed, source, out)
     add("search", _search, ("library", {}), ("query", {}), number("--limit", 10))
     add("info", _parameters, *(number(f"--{n}", d) for n, d in (("vocabulary", 32_000), ("width", 768), ("layers", 12), ("heads", 12), ("kv-heads", 4), ("inner", 2_048))))
     return p

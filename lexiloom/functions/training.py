@@ -22,6 +22,12 @@ def parameter_count(vocabulary: int, width: int, layers: int, heads: int, kv_hea
     return vocabulary * width + layers * (2 * width * width + 2 * width * kv + 3 * width * inner + 2 * width) + width
 
 
+def clip_scale(norm: Column, maximum: float) -> Column:
+    """What gradients are scaled by so that their global norm is at most ``maximum``; null for a norm that isn't finite."""
+    fine = norm.isNotNull() & ~F.isnan(norm) & (norm != float("inf"))
+    return F.when(fine, F.when(norm > maximum, F.lit(float(maximum)) / (norm + 1e-12)).otherwise(1.0))
+
+
 def accepts(initial_f: Column, current_web: Column, current_f: Column, next_web: Column, next_f: Column, gain: float = 1e-4, slack: float = 1.02) -> Column:
     """Whether a candidate replaces the current model: better on web text, no worse than ``slack`` on the foundation.
 

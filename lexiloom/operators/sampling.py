@@ -48,3 +48,29 @@ def strongest(df: DataFrame, n: int = 10, context: str = "context", end: int | N
     shared = df.withColumn("__e", e).withColumn("probability", F.col("__e") / F.sum("__e").over(every))
     ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy(context).orderBy(F.desc("logit"), "id")))
     return ranked.where((F.col("rank") <= n) | (F.col("id") == F.lit(end)) if end is not None else F.col("rank") <= n).select(context, "rank", "id", "probability")
+
+
+def target_losses(logits: DataFrame, targets: DataFrame, context: str = "context") -> DataFrame:
+    """(context, loss): cross entropy of each context's target (context, id) under its logits (context, id, logit).
+
+    The maximum is taken off before the exponential, so that large logits don't overflow. A context without its target
+    among the logits has a null loss.
+    """
+    most = logits.groupBy(context).agg(F.max("logit").alias("__most"))
+    joined = logits.join(most, context).join(targets.select(context, F.col("id").alias("__target")), context)
+    sums = joined.groupBy(context).agg(
+        F.sum(F.exp(F.col("logit") - F.col("__most"))).alias("__sum"), F.max("__most").alias("__most"), F.max(F.when(F.col("id") == F.col("__target"), F.col("logit"))).alias("__own")
+    )
+    return sums.select(context, (F.log("__sum") + F.col("__most") - F.col("__own")).alias("loss"))
+
+
+def clipped(gradients: DataFrame, maximum: float, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Gradients scaled to a global norm of at most ``maximum``, and (norm, scale). The norm is one row, read as a number."""
+    from lexiloom.functions.training import clip_scale
+
+    norm = gradients.agg(F.sqrt(F.coalesce(F.sum(F.col(value) * F.col(value)), F.lit(0.0))).alias("norm"))
+    norm = norm.withColumn("scale", clip_scale(F.col("norm"), maximum))
+    scale = norm.first()["scale"]
+    if scale is None:
+        raise ValueError("the norm of the gradients is not finite")
+    return gradients.withColumn(value, F.col(value) * F.lit(scale)), norm

@@ -118,6 +118,33 @@ def unknown_ids(shard_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return used.join(vocabulary.select("id").distinct(), "id", "left_anti")
 
 
+def file_problems(found: DataFrame, expected: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(split, shard, problem) of shard files (split, shard, tokens, bytes, sha256) against their manifest (split, shard,
+    bytes, sha256) and the vocabulary (id): missing, unexpected, bytes, sha256, alignment, ids.
+
+    Ids are counted per shard before they meet the vocabulary, so a shard sends as many rows as it has different ids.
+    """
+    e, f = expected.select("split", "shard", F.col("bytes").alias("__bytes"), F.col("sha256").alias("__sha")), found.withColumn("__there", F.lit(True))
+    joined = e.withColumn("__listed", F.lit(True)).join(f, ["split", "shard"], "full")
+    checks = {
+        "missing": F.col("__there").isNull(),
+        "unexpected": F.col("__listed").isNull(),
+        "bytes": F.col("bytes") != F.col("__bytes"),
+        "sha256": F.col("sha256") != F.col("__sha"),
+        "alignment": F.col("__there") & F.col("tokens").isNull(),
+    }
+    of_files = joined.select("split", "shard", F.explode(F.array(*[F.when(c, name) for name, c in checks.items()])).alias("problem")).where("problem is not null")
+    ids = found.select("split", "shard", F.explode(F.array_distinct("tokens")).alias("id")).join(vocabulary.select("id").distinct(), "id", "left_anti")
+    return of_files.unionByName(ids.select("split", "shard", F.lit("ids").alias("problem")).distinct())
+
+
+def verified(found: DataFrame, expected: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The shard files, if they are as the manifest and the vocabulary say; else an error. Only then are windows read."""
+    if problems := file_problems(found, expected, vocabulary).limit(20).collect():
+        raise ValueError("; ".join(f"{r['split']} {r['shard']}: {r['problem']}" for r in problems))
+    return found
+
+
 def windows(shard_rows: DataFrame, wanted: DataFrame, shard_tokens: int) -> DataFrame:
     """(split, start, len, tokens) of the windows (split, start, len) that are wanted; windows must lie in the stream.
 

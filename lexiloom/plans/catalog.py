@@ -743,6 +743,49 @@ def repetition_penalty(spark: SparkSession, d: str) -> DataFrame:
     return sampling.penalised(_logits(spark, d), history, 1.2).select("context", "id", F.round("logit", 9).alias("logit"))
 
 
+@query("""
+with l as (select vec_id as context, unnest(range(len(embedding))) as id, unnest(embedding)::double * 10 as logit from embeddings),
+m as (select context, max(logit) as most from l group by context)
+select context, round(ln(sum(exp(logit - most))) + any_value(most) - max(case when id = context % 64 then logit end), 9) as loss from l join m using (context) group by context""")
+def window_losses(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "embeddings").select(F.col("vec_id").alias("context"), (F.col("vec_id") % 64).cast("int").alias("id"))
+    return sampling.target_losses(_logits(spark, d), targets).select("context", F.round("loss", 9).alias("loss"))
+
+
+@query("""
+with g as (select vec_id as context, unnest(range(len(embedding))) as id, unnest(embedding)::double * 10 as value from embeddings),
+n as (select sqrt(sum(value * value)) as norm from g)
+select context, id::int as id, round(value * (1.0 / (norm + 1e-12)), 9) as value from g, n""")
+def gradient_clip(spark: SparkSession, d: str) -> DataFrame:
+    """Logits taken for gradients, clipped to a global norm of one."""
+    scaled, _ = sampling.clipped(_logits(spark, d).withColumnRenamed("logit", "value"), 1.0)
+    return scaled.select("context", "id", F.round("value", 9).alias("value"))
+
+
+_UNITS = "u as (select example_id::varchar as id, coalesce(topic, 'none') as topic, question as text from dialogue_examples)"
+
+
+@query(f"""
+with {_UNITS}, s as (select case when n = 0 then 'test' when n = 1 then 'validation' else 'train' end as split from (select ('0x' || substr(sha256(id), 1, 2))::int % 10 as n from u)),
+bad as (select 'blank' as problem from u where {_blank('id')} or {_blank('text')} union all select 'repeated_id' from u where id is not null group by id having count(*) > 1
+  union all select 'repeated_text' from u where text is not null group by text having count(*) > 1
+  union all select 'empty_' || split from (select unnest(['train', 'validation', 'test']) as split except select split from s))
+select problem, count(*) as rows from bad group by problem""")
+def unit_problems(spark: SparkSession, d: str) -> DataFrame:
+    return splits.unit_problems(_units(spark, d))
+
+
+@query(f"""
+with {_UNITS} select case when n = 0 then 'test' when n = 1 then 'validation' else 'train' end as split, topic, count(*) as units, sum(strlen(text))::bigint as bytes
+from (select *, ('0x' || substr(sha256(id), 1, 2))::int % 10 as n from u) group by all""")
+def unit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return splits.unit_summary(_units(spark, d))
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "dialogue_examples").select(F.col("example_id").cast("string").alias("id"), F.coalesce("topic", F.lit("none")).alias("topic"), F.col("question").alias("text"))
+
+
 @query("""
 with s as (select i as step from range(0, 1001) r(i))
 select step::bigint as step, round(case when step < 100 then 0.0003 * step / 100 else 0.0003 * (0.1 + 0.9 * (1 + cos(pi() * least(1.0, (step - 100) / 900.0))) / 2) end, 12) as rate from s""")

@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions import hashing
 from lexiloom.functions.hashing import SPLITS
 from lexiloom.functions.text import END
+from lexiloom.operators import library
 
 
 def record(text: Column) -> Column:
@@ -89,6 +91,31 @@ def write_shards(shard_rows: DataFrame, path: str) -> DataFrame:
     return shard_rows.select("split", F.col("shard").cast("long").alias("shard"), "tokens").mapInArrow(run, "split string, shard long, name string, bytes long, sha256 string")
 
 
+class TooLittle(ValueError):
+    """A split has no article or too little text for a window."""
+
+
+def write_export(articles: DataFrame, path: str, context: int) -> dict:
+    """The latest revisions of articles as split texts and a table of their sources, with a manifest; returns its summary.
+
+    Fails with :class:`TooLittle` before anything is written, and if the folder is there.
+    """
+    rows = library.export_text(articles.withColumn("record_id", F.xxhash64("language", "id", "revision_id", "text")))
+    rows = rows.withColumn("identity_sha256", hashing.sha(hashing.article_key(F.col("language"), F.col("id")))).withColumn("text_sha256", hashing.sha(F.col("text")))
+    sizes = {r["split"]: r for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("articles"), F.sum(F.octet_length("document")).alias("bytes"), F.sum(F.length("document")).alias("chars")).collect()}
+    for split in SPLITS:
+        if split not in sizes or sizes[split]["chars"] <= context:
+            raise TooLittle(f"{split} has {sizes[split]['chars'] if split in sizes else 0} characters, a window {context}")
+    # each document ends in a blank line: the writer adds the second line feed
+    body = rows.withColumn("value", F.expr("left(document, length(document) - 1)")).withColumn("place", F.concat_ws(":", "language", F.lpad(F.col("id").cast("string"), 20, "0")))
+    write_splits(body, f"{path}/corpus", text="value", order="place")
+    names = ["id", "revision_id", "title", "url", "language", "license", "fetched_at_unix", "identity_sha256", "text_sha256", "split"]
+    rows.select(*names).orderBy("language", "id").write.mode("errorifexists").json(f"{path}/sources")
+    summary = {"articles": sum(r["articles"] for r in sizes.values())} | {f"{s}_bytes": sizes[s]["bytes"] for s in SPLITS}
+    write_manifest(path, {"schema_version": 1, "summary": summary, "minimum_context_characters": context, "counts": {s: sizes[s]["articles"] for s in SPLITS}})
+    return summary
+
+
 def append_articles(stored: DataFrame, path: str) -> None:
     """New stored articles as a Parquet table, appended; duplicates are left out before by operators.library."""
     stored.write.mode("append").partitionBy("schema_version").parquet(path)

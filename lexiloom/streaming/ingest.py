@@ -56,7 +56,7 @@ def ingest_articles(
         spark = rows.sparkSession
         incoming = library.stored(rows)
         incoming = incoming.withColumn("__order", F.struct(F.col("article.fetched_at_unix"), F.col("article.id"), F.col("article.revision_id"), F.col("text_sha256")))
-        held = spark.read.parquet(library_path) if _exists(spark, library_path) else incoming.limit(0)
+        held = spark.read.parquet(library_path) if exists(spark, library_path) else incoming.limit(0)
         new = cut(library.new_articles(incoming.dropDuplicates(["identity_sha256", "article", "text_sha256"]), held, "__order").drop("__order"))
         new.write.mode("append").parquet(library_path)
         if journal:
@@ -74,7 +74,7 @@ def ingest_articles(
     return articles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 

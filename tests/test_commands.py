@@ -1,8 +1,11 @@
 import hashlib
 import json
 
+import pytest
+
 from lexiloom.__main__ import main
 from lexiloom.sources import files
+from lexiloom.streaming import research
 
 LONG = "Le moulin de la colline garde encore ses vieilles pierres, et chacun vient y chercher la farine du matin avant la fête. "
 
@@ -30,6 +33,9 @@ def test_corpus_commands(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["stream-check", f"{tmp_path}/built", "--split", "test", "--sequence", "20", "--windows", "3"]) == 0
     assert json.loads(capsys.readouterr().out)["windows"] == 3
+    next((tmp_path / "built/shards/test").glob("*.u32")).write_bytes(b"\xff" * 200)
+    assert main(["stream-check", f"{tmp_path}/built", "--split", "test", "--sequence", "20", "--windows", "3"]) == 1
+    assert "ids" in capsys.readouterr().out
     next((tmp_path / "built/shards/train").glob("*.u32")).write_bytes(b"1234")
     assert main(["forge-info", f"{tmp_path}/built"]) == 1
 
@@ -46,6 +52,45 @@ def test_books_are_imported_in_the_order_of_their_table(spark, tmp_path):
     assert [r["file_id"] for r in ordered] == [r[0] for r in rows]
 
 
+def test_articles_are_collected_by_topic(spark, tmp_path, capsys):
+    pages = list(range(1, 41))
+    for offset in (0, 20, 40):
+        (tmp_path / f"search-moulin-{offset}.json").write_text(json.dumps({"query": {"search": [{"pageid": i, "ns": 0} for i in pages[offset : offset + 20]]}}))
+        (tmp_path / f"search-four-{offset}.json").write_text("{}" if offset else json.dumps({"query": {"search": [{"pageid": 1, "ns": 0}]}}))
+    for i in pages:
+        body = {"query": {"pages": [{"pageid": i, "ns": 0, "title": f"Page {i}", "extract": f"Texte {i}. " + LONG * 2, "revisions": [{"revid": 100 + i}]}]}}
+        (tmp_path / f"page-{i}.json").write_text(json.dumps(body))
+    config = {"topics": ["moulin", "four"], "cycles": 2, "pages_per_topic": 20, "interval_seconds": 1, "max_minutes": 5, "language": "fr", "max_library_bytes": 10**7}
+    (tmp_path / "s").mkdir()
+    waits, hooked = [], []
+    session = research.Session(spark, f"{tmp_path}/lib", f"{tmp_path}/s", f"file://{tmp_path}/search-{{topic}}-{{offset}}.json", f"file://{tmp_path}/page-{{id}}.json", wait=waits.append)
+    assert research.collect(session, config, lambda out, cycle: hooked.append(cycle)) == "finished"
+    stored = spark.read.parquet(f"{tmp_path}/lib")
+    assert stored.count() == 40 and [r["id"] for r in research.articles(stored).collect()] == pages and set(waits) == {1}
+    events = [json.loads(x)["event"] for x in (tmp_path / "s/events.jsonl").read_text().splitlines()]
+    assert events.count("stored") == 40 and events.count("network_error") == 1 and events[-1] == "finished" and hooked and hooked[-1] == 2
+    assert main(["export-library", f"{tmp_path}/lib", "--out", f"{tmp_path}/exported"]) == 0
+    text = "".join(p.read_text() for p in sorted((tmp_path / "exported/corpus").glob("split=*/*.txt")))
+    assert text.count("# Page ") == 40 and text.endswith("\n\n")
+    assert main(["export-library", f"{tmp_path}/lib", "--out", f"{tmp_path}/never", "--context", "1000000"]) == 1 and not (tmp_path / "never").exists()
+    (tmp_path / "s/STOP").write_text("")
+    assert research.collect(session, config) == "STOP"
+    assert research.config_problems(config | {"topics": [" "], "cycles": 0, "language": "FR"}) == ["topics", "cycles", "language"]
+    (tmp_path / "s/STOP").unlink()
+    broken = research.Session(spark, f"{tmp_path}/lib2", f"{tmp_path}/s", "file:///nowhere/{topic}", wait=waits.append)
+    with pytest.raises(RuntimeError):
+        research.collect(broken, config | {"cycles": 20})
+
+
+def test_course_units(spark, tmp_path, capsys):
+    (tmp_path / "units.json").write_text(json.dumps([{"id": f"u{i}", "topic": "langue", "text": f"Leçon {i}.<|end|>"} for i in range(60)]))
+    (tmp_path / "seed").mkdir()
+    assert main(["prepare-seed", f"{tmp_path}/units.json", "--out", f"{tmp_path}/seed"]) == 0
+    assert json.loads((tmp_path / "seed/manifest.json").read_text())["unit_count"] == 60
+    (tmp_path / "units.json").write_text(json.dumps([{"id": "a", "topic": "x", "text": "t"}, {"id": "a", "topic": "x", "text": "t"}]))
+    assert main(["prepare-seed", f"{tmp_path}/units.json", "--out", f"{tmp_path}/no"]) == 1
+
+
 def test_tokenizer_commands(spark, tmp_path, capsys):
     (tmp_path / "probes.json").write_text(json.dumps([{"id": "a", "domain": "x", "text": "été"}, {"id": "b", "domain": "y", "text": "🦀"}]))
     assert main(["tokenizer-audit", f"{tmp_path}/probes.json", "--baseline", ""]) == 0
