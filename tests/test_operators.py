@@ -327,3 +327,13 @@ def test_audit_query_measures_exactness(rows, spark, tmp_path, monkeypatch):
     monkeypatch.setattr(audit, "byte_codec", lambda: (encode, lambda ids: decode(ids).replace("lost", "")))
     total = entry.queries()["byte_audit"](spark, str(tmp_path)).where("total = 1").first()
     assert (total["samples"], total["exact"]) == (2, 1)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_near_sketches_are_never_broadcast(spark):
+    values = spark.range(100).withColumnRenamed("id", "sketch")
+    found = dedup.near_sketches(values)
+    assert found.count() > 0 and "Broadcast" not in _plan(found)
