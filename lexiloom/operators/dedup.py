@@ -57,15 +57,15 @@ def near_sketches(values: DataFrame, sketch_column: str = "sketch", most: int =
     Two 64-bit numbers that differ in up to three bits are equal in three of six blocks of bits at least, so an
     equi-join on the twenty choices of three blocks loses none, and a key of some 32 bits is shared by few sketches
     that aren't near. A pair that meets under several keys is kept under the first. Only distinct sketches meet, so a
-    text that is a third of all rows is one of them. Both sides are shuffled: Spark
-    takes their twenty keys for one and would broadcast far too many.
+    text that is a third of all rows is one of them. They are written to the checkpoint folder, so that each is made
+    once, and both sides are shuffled: Spark takes their twenty keys for one and would broadcast far too many.
     """
     if most > DISTANCE:
         raise ValueError(f"the keys find at most {DISTANCE} differing bits")
     bounds = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
     masks = [sum((1 << hi) - (1 << lo) for lo, hi in zip(bounds, bounds[1:])) - sum((1 << bounds[k + 1]) - (1 << bounds[k]) for k in left) for left in combinations(range(BLOCKS), DISTANCE)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    distinct = values.select(F.col(sketch_column).alias("s")).where(F.col("s").isNotNull()).distinct()
+    distinct = cut(values.select(F.col(sketch_column).alias("s")).distinct()).where(F.col("s").isNotNull())
     keyed = distinct.select("s", F.posexplode(F.array(*[F.col("s").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "v"))
     a, b = keyed.select(F.col("s").alias("a"), "k", "v"), keyed.select(F.col("s").alias("b"), "k", "v")
     joined = a.join(b.hint("merge"), ["k", "v"]).where(F.col("a") < F.col("b")).where(hashing.distance(F.col("a"), F.col("b")) <= most)

@@ -337,3 +337,8 @@ def test_near_sketches_are_never_broadcast(spark):
     values = spark.range(100).withColumnRenamed("id", "sketch")
     found = dedup.near_sketches(values)
     assert found.count() > 0 and "Broadcast" not in _plan(found)
+
+
+def test_sketches_are_made_once(rows):
+    found = dedup.near_sketches(dedup.sketches(rows([(1, "un deux trois quatre"), (2, None)], "i int, text string"), "i"))
+    assert "ArrowEvalPython" not in _plan(found)  # they stand in the checkpoint folder
