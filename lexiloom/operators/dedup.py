@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType
 
 from lexiloom.functions import hashing
 from lexiloom.functions import text as tx
-from lexiloom.runtime import cut, ranges
+from lexiloom.runtime import cut, ranges, rewritten
 
 #: Bits in which the sketches of near duplicates may differ, and the blocks of bits they are sought by: any three of
 #: these make a key, of 31 to 33 bits.
@@ -105,8 +105,9 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
 
     No pairs of rows are made. Each conflict is a key (URL, text, sketch, or fragment) under which only the least
     accepted and the least undecided position matter, per split for fragments; near sketches are pairs of distinct
-    sketches. Rows that share no key with others are decided at once. Rounds are written to the checkpoint folder. Up
-    to ``one_task`` keys in conflict, one task goes through them in order instead; the result is the same.
+    sketches. Rows that share no key with others are decided at once. Rounds are written to the checkpoint folder and read
+    again, each in the place of the last one. Up to ``one_task`` keys in conflict, one task goes through them in order
+    instead; the result is the same.
     Null URLs, texts and splits conflict with nothing.
     """
     base = df.select(F.col(pos).cast("long").alias("pos"), F.col(text).alias("t"), F.col(url).alias("u"), F.col(split).alias("s"))
@@ -121,7 +122,8 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
     base = cut(base.select("pos", F.coalesce("s", F.lit("")).alias("s"), "sk", keys.alias("keys")))
     flat = base.select("pos", "s", F.explode("keys").alias("k")).select("pos", "s", "k.rank", "k.key").where("key is not null")
     near = near_sketches(base.where("sk is not null"), "sk")
-    near = cut(near.select(F.col("a").cast("string").alias("key"), F.col("b").cast("string").alias("other")).unionByName(near.select(F.col("b").cast("string").alias("key"), F.col("a").cast("string").alias("other"))))
+    ab, ba = (F.struct(F.col(x).cast("string").alias("key"), F.col(y).cast("string").alias("other")) for x, y in ("ab", "ba"))
+    near = cut(near.select(F.explode(F.array(ab, ba)).alias("k")).select("k.*"))
     # keys under which nothing can conflict leave
     busy = flat.groupBy("rank", "key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("splits"))
     shared = busy.where(((F.col("rank") < 3) & (F.col("n") > 1)) | ((F.col("rank") == 3) & (F.col("splits") > 1))).select("rank", "key")
@@ -129,18 +131,18 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
     links = cut(flat.join(shared, ["rank", "key"]))
     if _few(links, one_task) and _few(near, one_task):
         return _named(base, _one_task(links, near, None))
-    state = cut(links.select("pos").distinct().withColumn("reason", F.lit(-1)))  # -1 undecided, 0 accepted, else a rank
+    state, folder = rewritten(links.select("pos").distinct().withColumn("reason", F.lit(-1)))  # -1 undecided, 0 accepted, else a rank
     for done in count(1):
         told = _conflicts(links, near, state, state.where("reason = -1"))
         verdict = F.when(F.col("falls").isNotNull(), F.col("falls")).when(F.coalesce("waits", F.lit(False)), -1).otherwise(0)
         new = state.where("reason = -1").select("pos").join(told, "pos", "left").select("pos", verdict.cast("int").alias("reason"))
-        state = cut(state.where("reason <> -1").unionByName(new))
+        state, folder = rewritten(state.where("reason <> -1").unionByName(new), folder)
         if state.where("reason = -1").limit(1).count() == 0:
             break
         if done >= most_rounds:
             left = links.join(state.where("reason <= 0"), "pos")  # accepted rows count, fallen ones don't
             if _few(left, one_task) and _few(near, one_task):
-                state = cut(state.where("reason > 0").unionByName(_one_task(left.drop("reason"), near, state.where("reason = 0"))))
+                state, folder = rewritten(state.where("reason > 0").unionByName(_one_task(left.drop("reason"), near, state.where("reason = 0"))), folder)
                 break
     # a row may have fallen before an earlier one stood that excludes it for a stronger reason
     fallen = state.where("reason > 0")

@@ -342,3 +342,11 @@ def test_near_sketches_are_never_broadcast(spark):
 def test_sketches_are_made_once(rows):
     found = dedup.near_sketches(dedup.sketches(rows([(1, "un deux trois quatre"), (2, None)], "i int, text string"), "i"))
     assert "ArrowEvalPython" not in _plan(found)  # they stand in the checkpoint folder
+
+
+def test_sizes_dont_grow_with_the_rounds(rows):
+    chain = rows([(i, f"un deux {(i + 1) // 2}", f"u{i // 2}", "train") for i in range(12)], "pos long, text string, url string, split string")
+    told = dedup.accept(chain, "pos", one_task=0)
+    size = told._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(size).bit_length() < 2000
+    assert [r["pos"] for r in told.where("reason is null").orderBy("pos").collect()] == [0, 2, 4, 6, 8, 10]
