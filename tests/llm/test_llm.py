@@ -403,3 +403,16 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 5, 6, 9)} | {"p7_ids", "p4_token_totals", "p8_mix"} <= names and set(entry.oracle_sql()) <= names
     json.dumps(sorted(names))
+
+
+def test_building_a_shard_takes_few_bytes_a_word():
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    texts = [draw.integers(0, 20_000, 400).astype(np.uint64) * np.uint64(7919) for _ in range(500)]
+    overlap.build(texts[:2])
+    tracemalloc.start()
+    overlap._stored(overlap.build(texts), shard=0)
+    peak = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+    tracemalloc.stop()
+    assert peak < 80  # 116 before
