@@ -23,6 +23,8 @@ RATIO_ALONE, RATIO_IN_CONTEXT = 25, 3
 FREQUENT = 20
 #: Likeness from which a line is taken for the title, the author or a chapter's name.
 LIKE = 0.84
+#: Bytes of a row group of parsed books, packed, and the rows after which its size is looked at. It changes no result.
+ROW_GROUP = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "4"}
 
 #: Glyphs that scanning takes for one another, as class and members; what is read, and what it may come from.
 GLYPHS = {"c": "ce6€", "o": "o0", "r": "rvy", "t": "tfs5$", "n": "nu", "i": "il1!|", "g": "gq9", "b": "bh8"}
@@ -257,7 +259,8 @@ def parsed(df: DataFrame, ident: str = "file_id", title: str = "title", author:
     side, its compounds and broken words, with ``raw`` its lines too.
 
     It is written to a table in the checkpoint folder, packed: the texts are laid out once, and what follows explodes
-    arrays where they are read.
+    arrays where they are read. Its row groups are small (ROW_GROUP), as Spark reads up to 4096 rows of one at once, and
+    so many books at once don't fit an executor.
     """
     names = [ident, "special", "opening", "raw", *_ARRAYS, "compounds", "broken"]
 
@@ -277,7 +280,7 @@ def parsed(df: DataFrame, ident: str = "file_id", title: str = "title", author:
     rows = df.where(F.col(text).isNotNull()).select(ident, title, author, text)
     folder = shared_folder(df.sparkSession, "books")
     made = rows.mapInPandas(run, schema)
-    made.write.option("compression", "zstd").parquet(folder)
+    made.write.options(**ROW_GROUP).option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(made.schema).parquet(folder)
 
 

@@ -416,3 +416,13 @@ def test_building_a_shard_takes_few_bytes_a_word():
     peak = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
     tracemalloc.stop()
     assert peak < 80  # 116 before
+
+
+def test_parsed_books_come_in_small_row_groups(rows, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(books, "ROW_GROUP", books.ROW_GROUP | {"parquet.block.size": str(1 << 16)})
+    text = "\n".join(" ".join(f"mot{i * 7 % 1000 + j}" for j in range(8)) for i in range(60))
+    made = books.parsed(rows([(f"b{k}", "T", "A", text) for k in range(40)], "file_id string, title string, author string, complete_text string").coalesce(1))
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in made.inputFiles()]
+    assert max(groups) >= 4 and made.count() == 40
