@@ -350,3 +350,13 @@ def test_sizes_dont_grow_with_the_rounds(rows):
     size = told._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert int(size).bit_length() < 2000
     assert [r["pos"] for r in told.where("reason is null").orderBy("pos").collect()] == [0, 2, 4, 6, 8, 10]
+
+
+def test_accept_joins_near_sketches_once_and_never_broadcasts_them(rows, monkeypatch):
+    plans, write = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    data = [(1, "un deux trois quatre", "a", "train"), (2, "un deux trois quatre", "b", "train"), (3, "cinq six sept", "c", "train")]
+    told = dedup.accept(rows(data, "pos long, text string, url string, split string"), "pos")
+    near = [p for p in plans if "bit_count" in p]
+    assert len(near) == 1 and near[0].count("SortMergeJoin") == 1 and "Broadcast" not in near[0]
+    assert {r["pos"]: r["reason"] for r in told.collect()} == {1: None, 2: "exact_duplicate", 3: None}
