@@ -360,3 +360,13 @@ def test_accept_joins_near_sketches_once_and_never_broadcasts_them(rows, monkeyp
     near = [p for p in plans if "bit_count" in p]
     assert len(near) == 1 and near[0].count("SortMergeJoin") == 1 and "Broadcast" not in near[0]
     assert {r["pos"]: r["reason"] for r in told.collect()} == {1: None, 2: "exact_duplicate", 3: None}
+
+
+def test_budget_cut_broadcasts_no_sketches(spark, monkeypatch):
+    from lexiloom.plans import catalog
+
+    plans, write = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    made = catalog.QUERIES["budget_cut"](spark, "/root/testdata/sf0.001")
+    near = [p for p in plans if "bit_count" in p]
+    assert near and not any("BroadcastHashJoin" in p for p in near) and made.count() == 2
