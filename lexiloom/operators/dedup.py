@@ -107,7 +107,8 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
     accepted and the least undecided position matter, per split for fragments; near sketches are pairs of distinct
     sketches. Rows that share no key with others are decided at once. Rounds are written to the checkpoint folder and read
     again, each in the place of the last one. Up to ``one_task`` keys in conflict, one task goes through them in order
-    instead; the result is the same.
+    instead; the result is the same. All joins shuffle both sides: positions are small in files, so Spark would broadcast
+    those of all rows, several times a round, and the driver's memory would grow with the table.
     Null URLs, texts and splits conflict with nothing.
     """
     base = df.select(F.col(pos).cast("long").alias("pos"), F.col(text).alias("t"), F.col(url).alias("u"), F.col(split).alias("s"))
@@ -128,19 +129,25 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
     busy = flat.groupBy("rank", "key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("splits"))
     shared = busy.where(((F.col("rank") < 3) & (F.col("n") > 1)) | ((F.col("rank") == 3) & (F.col("splits") > 1))).select("rank", "key")
     shared = shared.unionByName(near.select(F.lit(2).alias("rank"), "key")).distinct()
-    links = cut(flat.join(shared, ["rank", "key"]))
+    # numbers in the place of keys of 64 signs, which each round would shuffle
+    shared = cut(shared.withColumn("id", F.monotonically_increasing_id().cast("string")))
+    links = cut(flat.join(shared.hint("merge"), ["rank", "key"]).select("rank", F.col("id").alias("key"), "pos", "s"))
+    for c in ("key", "other"):
+        ids = shared.where("rank = 2").select(F.col("key").alias(c), "id")
+        near = near.join(ids.hint("merge"), c).drop(c).withColumnRenamed("id", c)
+    near = cut(near)
     if _few(links, one_task) and _few(near, one_task):
         return _named(base, _one_task(links, near, None))
     state, folder = rewritten(links.select("pos").distinct().withColumn("reason", F.lit(-1)))  # -1 undecided, 0 accepted, else a rank
     for done in count(1):
         told = _conflicts(links, near, state, state.where("reason = -1"))
         verdict = F.when(F.col("falls").isNotNull(), F.col("falls")).when(F.coalesce("waits", F.lit(False)), -1).otherwise(0)
-        new = state.where("reason = -1").select("pos").join(told, "pos", "left").select("pos", verdict.cast("int").alias("reason"))
+        new = state.where("reason = -1").select("pos").join(told.hint("merge"), "pos", "left").select("pos", verdict.cast("int").alias("reason"))
         state, folder = rewritten(state.where("reason <> -1").unionByName(new), folder)
         if state.where("reason = -1").limit(1).count() == 0:
             break
         if done >= most_rounds:
-            left = links.join(state.where("reason <= 0"), "pos")  # accepted rows count, fallen ones don't
+            left = links.join(state.where("reason <= 0").hint("merge"), "pos")  # accepted rows count, fallen ones don't
             if _few(left, one_task) and _few(near, one_task):
                 state, folder = rewritten(state.where("reason > 0").unionByName(_one_task(left.drop("reason"), near, state.where("reason = 0"))), folder)
                 break
@@ -153,17 +160,17 @@ def accept(df: DataFrame, pos: str, text: str = "text", url: str = "url", split:
 def _conflicts(links: DataFrame, near: DataFrame, state: DataFrame, rows: DataFrame) -> DataFrame:
     """(pos, falls, waits) of rows: the strongest rank at which an accepted earlier row conflicts, and whether an
     earlier row that conflicts still may stand. Under a key the least positions tell."""
-    known = links.join(state, "pos").where(F.col("reason") <= 0)
+    known = links.join(state.hint("merge"), "pos").where(F.col("reason") <= 0)
     least = known.groupBy("rank", "key", "s").agg(F.min(F.when(F.col("reason") == 0, F.col("pos"))).alias("accepted"), F.min("pos").alias("standing"))
     both = [F.min("accepted").alias("accepted"), F.min("standing").alias("standing")]
     # what counts under a key: for exact ones all rows, for sketches those of near ones too, for fragments other splits
     exact = least.where("rank < 3").groupBy("rank", "key").agg(*both)
-    close = exact.where("rank = 2").join(near, "key").select("rank", F.col("other").alias("key"), "accepted", "standing")
+    close = exact.where("rank = 2").join(near.hint("merge"), "key").select("rank", F.col("other").alias("key"), "accepted", "standing")
     exact = exact.unionByName(close).groupBy("rank", "key").agg(*both)
-    asked = links.join(rows.select("pos"), "pos")
-    one = asked.where("rank < 3").join(exact, ["rank", "key"]).select("pos", "rank", "accepted", "standing")
+    asked = links.join(rows.select("pos").hint("merge"), "pos")
+    one = asked.where("rank < 3").join(exact.hint("merge"), ["rank", "key"]).select("pos", "rank", "accepted", "standing")
     other = least.where("rank = 3").select("key", F.col("s").alias("os"), "accepted", "standing")
-    two = asked.where("rank = 3").join(other, "key").where(F.col("s") != F.col("os")).where("s <> '' and os <> ''").select("pos", "rank", "accepted", "standing")
+    two = asked.where("rank = 3").join(other.hint("merge"), "key").where(F.col("s") != F.col("os")).where("s <> '' and os <> ''").select("pos", "rank", "accepted", "standing")
     return one.unionByName(two).groupBy("pos").agg(
         F.min(F.when(F.col("accepted") < F.col("pos"), F.col("rank"))).alias("falls"), F.max(F.col("standing") < F.col("pos")).alias("waits")
     )
@@ -173,7 +180,7 @@ def _named(base: DataFrame, decided: DataFrame) -> DataFrame:
     name = F.lit(None).cast("string")
     for rank, reason in enumerate(REASONS, 1):
         name = F.when(F.col("reason") == rank, reason).otherwise(name)
-    return base.select("pos").join(decided.select("pos", name.alias("reason")), "pos", "left")
+    return base.select("pos").join(decided.select("pos", name.alias("reason")).hint("merge"), "pos", "left")
 
 
 def _few(df: DataFrame, most: int) -> bool:
@@ -183,7 +190,7 @@ def _few(df: DataFrame, most: int) -> bool:
 def _one_task(links: DataFrame, near: DataFrame, accepted: DataFrame | None) -> DataFrame:
     """(pos, reason) of the rows of few links, in order; rows known to be accepted come out as such."""
     rows = links.select("pos", "rank", "key", "s")
-    rows = rows.withColumn("fixed", F.lit(False)) if accepted is None else rows.join(accepted.select("pos", F.lit(True).alias("fixed")), "pos", "left")
+    rows = rows.withColumn("fixed", F.lit(False)) if accepted is None else rows.join(accepted.select("pos", F.lit(True).alias("fixed")).hint("merge"), "pos", "left")
     pairs = near.select(F.lit(None).cast("long").alias("pos"), F.lit(0).alias("rank"), "key", F.col("other").alias("s"), F.lit(False).alias("fixed"))
     return rows.unionByName(pairs).coalesce(1).mapInPandas(_in_order, "pos long, reason int")
 

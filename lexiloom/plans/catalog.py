@@ -361,7 +361,7 @@ def dedup_accept(spark: SparkSession, d: str) -> DataFrame:
     """Reason of each row of the import: of quality, else of the greedy choice."""
     rows = _candidates(spark, d)
     told = dedup.accept(rows.where(F.col("reason").isNull()), "record_id", url="page").withColumnRenamed("reason", "dropped")
-    joined = rows.join(told.withColumnRenamed("pos", "record_id"), "record_id", "left")
+    joined = rows.join(told.withColumnRenamed("pos", "record_id").hint("merge"), "record_id", "left")
     return joined.select("record_id", "split", F.coalesce("reason", "dropped").alias("reason"))
 
 

@@ -370,3 +370,20 @@ def test_budget_cut_broadcasts_no_sketches(spark, monkeypatch):
     made = catalog.QUERIES["budget_cut"](spark, "/root/testdata/sf0.001")
     near = [p for p in plans if "bit_count" in p]
     assert near and not any("BroadcastHashJoin" in p for p in near) and made.count() == 2
+
+
+@pytest.mark.parametrize("one_task", [0, dedup.ONE_TASK])
+def test_accept_broadcasts_no_positions_and_carries_no_long_keys(rows, monkeypatch, one_task):
+    plans, links = [], []
+    told_plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    cut, rewritten = dedup.cut, dedup.rewritten
+    monkeypatch.setattr(dedup, "cut", lambda df: links.append(cut(told_plan(df))) or links[-1])
+    monkeypatch.setattr(dedup, "rewritten", lambda df, *before: rewritten(told_plan(df), *before))
+    line = "une ligne assez longue pour compter comme fragment partagé entre deux parties du corpus"
+    data = [(1, f"{line}\nun", "a", "train"), (2, f"{line}\nun", "b", "train"), (3, f"{line}\ndeux autres mots ici", "c", "test"), (4, "cinq six sept", "d", "test")]
+    told = dedup.accept(rows(data, "pos long, text string, url string, split string"), "pos", one_task=one_task)
+    told_plan(told)
+    assert {r["pos"]: r["reason"] for r in told.collect()} == {1: None, 2: "exact_duplicate", 3: "cross_partition_fragment", 4: None}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    kept = [r["key"] for x in links if x.columns == ["rank", "key", "pos", "s"] for r in x.collect()]
+    assert kept and all(k.isdigit() and len(k) < 20 for k in kept)
