@@ -372,7 +372,7 @@ first as (select min(record_id) as stop from run where over)
 select accepted, count(*) as rows, sum(size)::bigint as bytes from run, first where stop is null or record_id < stop group by accepted""")
 def budget_cut(spark: SparkSession, d: str) -> DataFrame:
     """The rows that an import of two million bytes takes in or rejects."""
-    rows = dedup_accept(spark, d).join(read(spark, d, "web_documents").select("record_id", F.octet_length(tx.normalized(F.col("text"))).alias("n")), "record_id")
+    rows = dedup_accept(spark, d).join(read(spark, d, "web_documents").select("record_id", F.octet_length(tx.normalized(F.col("text"))).alias("n")).hint("merge"), "record_id")
     passing = rows.where(F.coalesce("reason", F.lit("")).isin("", *dedup.REASONS)).withColumn("size", F.coalesce("n", F.lit(0)) + len(tx.END) + 1).withColumn("accepted", F.col("reason").isNull())
     return dedup.within_budget(passing, "record_id", "size", "accepted", 2_000_000).groupBy("accepted").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
 

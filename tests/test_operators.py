@@ -387,3 +387,13 @@ def test_accept_broadcasts_no_positions_and_carries_no_long_keys(rows, monkeypat
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
     kept = [r["key"] for x in links if x.columns == ["rank", "key", "pos", "s"] for r in x.collect()]
     assert kept and all(k.isdigit() and len(k) < 20 for k in kept)
+
+
+def test_budget_cut_broadcasts_no_sizes(spark, monkeypatch):
+    from lexiloom.plans import catalog
+
+    plans, write = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    catalog.QUERIES["budget_cut"](spark, "/root/testdata/sf0.001")
+    sized = [p for p in plans if "octet_length" in p]
+    assert sized and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in sized)
